@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import chat_format, nbsvm, packing, quality_rules, token_counts, token_ids, url_filter
+from tessera.llm.shared import broadcast_if_small, written
+
+LABEL_ROWS = 2_000_000  # largest table of labels that is broadcast
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,43 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    known = docs.where(~held_out).join(broadcast_if_small(labels, LABEL_ROWS), "doc_id").select("text", "label")
+    out = nbsvm.score(docs, nbsvm.train(known))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.index(spark, token_ids.encode_to_files(_table(spark, sf_dir, "documents")))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(written(chat_format.format_conversations(turns), "chat"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", bad)
+    return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 _STOP = ", ".join("'" + w + "'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
 
 OP1_SQL = rf"""
@@ -38,5 +78,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op6_token_ids, op7_chat_format, op8_token_counts, op10_url_filter)}
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL}
