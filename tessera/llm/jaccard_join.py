@@ -261,3 +261,11 @@ def classes(docs: DataFrame, like: Likeness) -> DataFrame:
     least = named.join(least, "label").select("set_id", "component_id")
     out = sets.join(least, "set_id", "left")
     return out.select("doc_id", "n", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, like: Likeness) -> DataFrame:
+    """docs less the documents whose class holds a smaller doc_id. Repeated rows of one doc_id stand or go
+    together; rows without a doc_id go only if a document with one has their text."""
+    found = classes(docs, like).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = broadcast_if_small(written(found.withColumnRenamed("doc_id", "_kept"), "kept"), WANTED_ROWS)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

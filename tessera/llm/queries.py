@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, nbsvm, packing, quality_rules, token_counts, token_ids, url_filter
+from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, quality_rules, token_counts, token_ids, url_filter
 from tessera.llm.shared import broadcast_if_small, written
 
 LABEL_ROWS = 2_000_000  # largest table of labels that is broadcast
@@ -34,6 +34,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.index(spark, token_ids.encode_to_files(_table(spark, sf_dir, "documents")))
 
@@ -49,6 +57,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(_table(spark, sf_dir, "documents"), jaccard_join.Likeness(3, 9, 10))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     labels = _table(spark, sf_dir, "labels")
@@ -78,5 +91,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op6_token_ids, op7_chat_format, op8_token_counts, op10_url_filter)}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (SELECT a.r AS a, b.r AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM x JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * x >= 90 * (p.n + q.n - x)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(r, o) AS (SELECT r, r FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.o)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN t ON t.r = d.r JOIN d o ON o.r = t.o GROUP BY d.r, d.doc_id
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_quality_classifier,
+        op3_packing,
+        op4_line_dedup,
+        op5_decontaminate,
+        op6_token_ids,
+        op7_chat_format,
+        op8_token_counts,
+        op9_ngram_jaccard,
+        op10_url_filter,
+    )
+}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}
