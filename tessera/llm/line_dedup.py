@@ -37,7 +37,7 @@ LIKE = Likeness(1, 8, 10)
 ORDERED = 500_000
 COUNTED = 4_000_000  # word hashes a task holds before it sums them
 SEEN = 1_000_000
-LINES = "doc_id long, tie long, line int, line_id long, m1 long, m2 long"
+LINES = "doc_id long, tie long, line int, line_id long, m1 long, m2 long, words int, o0 long, o1 long"
 
 
 def _lines(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +73,11 @@ def line_table(docs: DataFrame) -> DataFrame:
                 row = pa.array(text + block.first)
                 minima = [np.minimum.reduceat(mix(w.hashes ^ _U(s)), off[:-1]).view(np.int64) for s in (0x51ED270B, 0x2C1B3C6D)]
                 ids = _line_ids(w.hashes, off).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("tie").take(row), pa.array(number.astype(np.int32)), pa.array(ids), *map(pa.array, minima)], ["doc_id", "tie", "line", "line_id", "m1", "m2"])
+                bit = _U(1) << (w.hashes & _U(63))
+                low = (w.hashes >> _U(6)) & _U(1) == 0
+                maps = [np.bitwise_or.reduceat(np.where(x, bit, _U(0)), off[:-1]).view(np.int64) for x in (low, ~low)]
+                counts = np.diff(off).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("tie").take(row), pa.array(number.astype(np.int32)), pa.array(ids), *map(pa.array, minima), pa.array(counts), *map(pa.array, maps)], ["doc_id", "tie", "line", "line_id", "m1", "m2", "words", "o0", "o1"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, LINES)
 
@@ -226,12 +230,17 @@ def _goes(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 def matched_lines(docs: DataFrame, like: Likeness = LIKE) -> tuple[DataFrame, DataFrame]:
     """The lines of docs (LINES) and the lines that go (doc_id, tie, line)."""
     lines = written(line_table(docs), "lines")
-    firsts = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "tie", "line")).alias("pos"), F.first("m1").alias("m1"), F.first("m2").alias("m2"))
+    own = [F.first(c).alias(c) for c in ("m1", "m2", "words", "o0", "o1")]  # equal in all lines of one line_id
+    firsts = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "tie", "line")).alias("pos"), *own)
     firsts = written(firsts, "first-lines")
 
-    keyed = firsts.select("line_id", "pos", F.explode(F.array("m1", "m2")).alias("m"))
-    heads = keyed.groupBy("m").agg(F.min(F.struct("pos", "line_id")).alias("h"), F.count("*").alias("c")).where("c > 1").select("m", F.col("h.line_id").alias("b"))
-    star = written(keyed.join(heads, "m").where("line_id <> b").select(F.col("line_id").alias("a"), "b").distinct(), "star")
+    keyed = firsts.select("line_id", "pos", "words", "o0", "o1", F.explode(F.array("m1", "m2")).alias("m"))
+    heads = keyed.groupBy("m").agg(F.min(F.struct("pos", "line_id", "words", "o0", "o1")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    # words bound the tokens, and a bit that differs takes a token that differs: this rules out, never in
+    apart = (F.col("words") + F.col("h.words")) * (like.den - like.num) / (like.den + like.num)
+    near = F.bit_count(F.col("o0").bitwiseXOR(F.col("h.o0"))) + F.bit_count(F.col("o1").bitwiseXOR(F.col("h.o1"))) <= apart
+    star = keyed.join(heads, "m").where((F.col("line_id") != F.col("h.line_id")) & near)
+    star = written(star.select(F.col("line_id").alias("a"), F.col("h.line_id").alias("b")).distinct(), "star")
     placed = firsts.select(F.col("pos.doc_id").alias("doc_id"), F.col("pos.line").alias("line"), "line_id")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     tokens = token_table(docs, placed.join(ends(star), "line_id"))
