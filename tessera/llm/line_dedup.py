@@ -212,6 +212,7 @@ def _candidates(index: DataFrame, like: Likeness) -> DataFrame:
     passes = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.line_id") != F.col("b.line_id"))
+        & (~F.col("b.open") | (F.col("a.line_id") < F.col("b.line_id")))  # a pair of open lines once; both sides then read one shuffle
         & (like.den * na >= like.num * nb)
         & (like.den * nb >= like.num * na)
         & (F.col("a.i") + F.col("b.i") <= apart)  # holds at the first token that both prefixes share
