@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators.relational import owned_rows
 from tessera.plans.registry import Registry, table
+from tessera.sources.tables import saved
 
 reg = Registry()
 _WORD = r"[\p{L}\p{N}]{2,}"
@@ -19,7 +20,8 @@ def _words(c: Column) -> Column:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _words(F.col("text")))
+    """Postings, written once: statistics, document frequencies and scores all read them."""
+    return saved(R.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _words(F.col("text"))), "postings")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
