@@ -5,7 +5,7 @@ A line is a `\\n`-split part of a text that holds a word; its tokens are its dis
 a hash of their text, then by place; a line goes when some earlier line, kept or not, matches it.
 
 1. Lines of equal words are brought together by hash; all but the first of each go.
-2. Each distinct line meets the earliest line that shares one of two minima of its token hashes; this settles
+2. Each distinct line meets the earliest line that shares one of three sets of minima of its token hashes; this settles
    large groups of near copies with one comparison per line.
 3. The lines still open take part in an exact set-similarity join: tokens ordered by rarity, an inverted index over
    prefixes, then the length filter, the positional filter and a parity-sketch bound on the symmetric difference.
@@ -35,9 +35,10 @@ from tessera.llm.shared import broadcast_if_small, written
 _U = np.uint64
 LIKE = Likeness(1, 8, 10)
 ORDERED = 500_000
+KEYS, MINIMA = 3, 6  # one minimum alone is often a common word, and brings unlike lines together
 COUNTED = 4_000_000  # word hashes a task holds before it sums them
 SEEN = 1_000_000
-LINES = "doc_id long, tie long, line int, line_id long, m1 long, m2 long, words int, o0 long, o1 long"
+LINES = "doc_id long, tie long, line int, line_id long, m1 long, m2 long, m3 long, words int, o0 long, o1 long"
 
 
 def _lines(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +61,14 @@ def _line_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(h + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), off[:-1]) + n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
 
 
+def _minima(h: np.ndarray, off: np.ndarray, key: int) -> np.ndarray:
+    """A hash of MINIMA minima of the token hashes of each line; equal for most pairs that differ in a word."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    for s in range(MINIMA):
+        out = mix(out + np.minimum.reduceat(mix(h ^ _U(key * 1_000_003 + s * 7919 + 1)), off[:-1]))
+    return out
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """LINES: one row per line with a word."""
 
@@ -71,13 +80,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                 if not len(text):
                     continue
                 row = pa.array(text + block.first)
-                minima = [np.minimum.reduceat(mix(w.hashes ^ _U(s)), off[:-1]).view(np.int64) for s in (0x51ED270B, 0x2C1B3C6D)]
+                minima = [_minima(w.hashes, off, key).view(np.int64) for key in range(KEYS)]
                 ids = _line_ids(w.hashes, off).view(np.int64)
                 bit = _U(1) << (w.hashes & _U(63))
                 low = (w.hashes >> _U(6)) & _U(1) == 0
                 maps = [np.bitwise_or.reduceat(np.where(x, bit, _U(0)), off[:-1]).view(np.int64) for x in (low, ~low)]
                 counts = np.diff(off).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("tie").take(row), pa.array(number.astype(np.int32)), pa.array(ids), *map(pa.array, minima), pa.array(counts), *map(pa.array, maps)], ["doc_id", "tie", "line", "line_id", "m1", "m2", "words", "o0", "o1"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("tie").take(row), pa.array(number.astype(np.int32)), pa.array(ids), *map(pa.array, minima), pa.array(counts), *map(pa.array, maps)], ["doc_id", "tie", "line", "line_id", "m1", "m2", "m3", "words", "o0", "o1"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, LINES)
 
@@ -231,11 +240,11 @@ def _goes(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 def matched_lines(docs: DataFrame, like: Likeness = LIKE) -> tuple[DataFrame, DataFrame]:
     """The lines of docs (LINES) and the lines that go (doc_id, tie, line)."""
     lines = written(line_table(docs), "lines")
-    own = [F.first(c).alias(c) for c in ("m1", "m2", "words", "o0", "o1")]  # equal in all lines of one line_id
+    own = [F.first(c).alias(c) for c in ("m1", "m2", "m3", "words", "o0", "o1")]  # equal in all lines of one line_id
     firsts = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "tie", "line")).alias("pos"), *own)
     firsts = written(firsts, "first-lines")
 
-    keyed = firsts.select("line_id", "pos", "words", "o0", "o1", F.explode(F.array("m1", "m2")).alias("m"))
+    keyed = firsts.select("line_id", "pos", "words", "o0", "o1", F.explode(F.array("m1", "m2", "m3")).alias("m"))
     heads = keyed.groupBy("m").agg(F.min(F.struct("pos", "line_id", "words", "o0", "o1")).alias("h"), F.count("*").alias("c")).where("c > 1")
     # words bound the tokens, and a bit that differs takes a token that differs: this rules out, never in
     apart = (F.col("words") + F.col("h.words")) * (like.den - like.num) / (like.den + like.num)
