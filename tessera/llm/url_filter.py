@@ -1,8 +1,10 @@
 """URL filters: fixed host and path rules, then association rules mined from labelled urls.
 
-FP-growth finds combinations of url tokens that go with the label "bad"; rules below a confidence, lift
-or support are pruned. A url is matched through an inverted index from token to rule: it satisfies
-a rule when all tokens of the rule's antecedent are among its own. Only DataFrame functions and the FP-growth
+FP-growth finds combinations of url tokens that go with the label "bad": at most one token of the host with any
+path segments and query keys. A rule stays when it holds in MIN_BAD bad urls, whatever the number of labelled urls, when its
+confidence is the share of bad urls plus MIN_GAIN of what is missing to 1, and when a lower bound of it (Wilson, Z deviations) is
+above that share, so that chance in few urls makes no rule. A url is matched through an inverted index from token to rule: it
+satisfies a rule when all tokens of the rule's antecedent are among its own. Only DataFrame functions and the FP-growth
 estimator run.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no rule and verdict allow
@@ -24,8 +26,8 @@ from tessera.llm.shared import broadcast_if_small
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.6, 1.2
-BAD = "label=bad"
+MIN_BAD, MIN_GAIN, Z = 5, 0.5, 3.0
+BAD, ANY_HOST = "bad", "host"  # no token of a url is equal to one of these
 INDEX_ROWS = 1_000_000  # largest inverted index that is broadcast
 
 
@@ -39,13 +41,16 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """The set of tokens of a url: host labels and domain suffixes, path segments (digits as #), query keys."""
+    """The set of tokens of a url: domain suffixes, host labels under the last and their hyphen parts, path segments (digits as #),
+    query keys."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.greatest(F.size(labels), F.lit(1))), "."))
     segments = F.filter(F.split(F.regexp_replace(path, r"\d+", "#"), "/"), lambda x: x != "")
     query = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)="), 1)
     tag = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
-    out = F.concat(tag("host=", F.filter(suffixes, lambda x: x != "")), tag("path=", segments), tag("key=", query))
+    under = F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))
+    parts = F.concat(under, F.filter(F.flatten(F.transform(under, lambda x: F.split(x, "-"))), lambda x: x != ""))
+    out = F.concat(tag("host=", F.filter(suffixes, lambda x: x != "")), tag("label=", parts), tag("path=", segments), tag("key=", query))
     return F.array_sort(F.array_distinct(out))
 
 
@@ -59,14 +64,32 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT) -> DataFrame:
-    """labelled (tokens, bad boolean) -> rules (rule_id, antecedent, confidence, lift, support) that predict bad."""
-    baskets = labelled.where("bad IS NOT NULL").select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items"))
-    if baskets.isEmpty():
+def _of_host(token: Column) -> Column:
+    return token.startswith("host") | token.startswith("label=")
+
+
+def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_gain: float = MIN_GAIN, z: float = Z) -> DataFrame:
+    """labelled (tokens, bad boolean) -> rules (rule_id, antecedent, confidence, lift, support) that predict bad.
+
+    Suffixes, labels and parts of a host imply one another, and with an absolute support every subset of them would be
+    frequent. So each url gives one basket per token of its host, and one for any host: the count of a set that holds one of these
+    is its count of urls, and sets grow with the number of host tokens."""
+    known = labelled.where("bad IS NOT NULL")
+    urls, bad = known.agg(F.count("*"), F.count_if("bad")).first()
+    if bad < min_bad:
         return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
-    return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), "antecedent", "confidence", "lift", "support")
+    host = F.explode(F.array_append(F.filter("tokens", _of_host), ANY_HOST)).alias("host")
+    baskets = known.select("bad", F.filter("tokens", lambda x: ~_of_host(x)).alias("rest"), host)
+    items = F.array_append("rest", F.col("host"))
+    baskets = baskets.select(F.when(F.col("bad"), F.array_append(items, BAD)).otherwise(items).alias("items"))
+    rows, base = baskets.count(), bad / urls
+    least = base + min_gain * (1 - base)
+    model = FPGrowth(itemsCol="items", minSupport=(min_bad - 0.5) / rows, minConfidence=least * (1 - 1e-12)).fit(baskets)
+    p, n = F.col("confidence"), F.col("support") * rows / F.col("confidence")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & F.exists("antecedent", _of_host) & (low > base))
+    rules = rules.withColumn("antecedent", F.array_sort(F.array_remove("antecedent", ANY_HOST))).where(F.size("antecedent") > 0)
+    return rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", (p / base).alias("lift"), (F.col("support") * rows / urls).alias("support"))
 
 
 def match(baskets: DataFrame, rules: DataFrame) -> DataFrame:

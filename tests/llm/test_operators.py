@@ -386,3 +386,14 @@ def test_url_rules(spark):
     none = known.limit(0)
     assert {r.verdict for r in url_filter.judge(more.where("page_id >= 100"), none).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), known).count() == 0
+
+
+def test_url_rules_of_rare_bad_urls(spark):
+    known = [(f"http://site{i % 300}.org/en/{i}", i % 7 < 2) for i in range(3000)]
+    known += [(f"http://www.spam.biz/a/{i}", True) for i in range(10)] + [(f"http://casino-x{i}.site{i}.info/{i}", True) for i in range(10)]
+    known += [(f"http://mixed.org/in/{i}", True) for i in range(8)] + [(f"http://mixed.org/out/{i}", False) for i in range(80)]
+    known += [(f"http://chance.org/{i}", i < 5) for i in range(8)] + [(f"http://few.net/{i}", True) for i in range(4)]
+    urls = {"http://m.spam.biz/b": "block", "http://casino-win.new.com/": "block", "http://casino.new.com/": "block", "http://mixed.org/in/x": "block", "http://mixed.org/out/x": "allow", "http://chance.org/1": "allow", "http://few.net/1": "allow", "http://site10.org/en/1": "allow"}
+    labelled = spark.createDataFrame(known, "url string, bad boolean")
+    out = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), labelled, rules=(("allow", "nowhere.test", "/"),))
+    assert {r.url: r.verdict for r in out.collect()} == urls
