@@ -15,7 +15,7 @@ Rarity comes from counts over all lines; only the ORDERED most frequent words ar
 rank as rarest, by hash. The order changes the work, never the result.
 
 Defined results: null, empty and blank texts are left as they are; blank lines are never removed; rows that repeat both
-doc_id and text share their places and so lose the same lines; null doc_ids come first; a text whose every line
+doc_id and text share their places and so lose the same lines; null doc_ids come first and count as earlier; a text whose every line
 goes becomes empty; an empty table gives no rows; other columns pass through, those with a name of ours are replaced.
 """
 
@@ -146,10 +146,17 @@ def _sketches(h: np.ndarray, off: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(ones.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
 
 
+def _texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(lines, text) of the rows of lists (doc_id, tie, lines); a null doc_id is an id like others."""
+    asked = lists.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie"))
+    return docs.select("doc_id", "text").join(asked, own).select("lines", "text")
+
+
 def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, n, grams, sketch) of wanted lines (doc_id, line, line_id)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_id")).alias("lines"))  # bounded by a text's lines
-    rows = docs.select("doc_id", "text").join(broadcast_if_small(lists, WANTED_ROWS // 4), "doc_id").select("lines", "text")
+    """(set_id, n, grams, sketch) of wanted lines (doc_id, tie, line, line_id)."""
+    lists = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line", "line_id")).alias("lines"))  # bounded by a text's lines
+    rows = _texts_of(docs, broadcast_if_small(lists, WANTED_ROWS // 4))
 
     def run(batches):
         for batch in batches:
@@ -178,10 +185,10 @@ def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, firsts: DataFrame, order: tuple[np.ndarray, np.ndarray], like: Likeness = LIKE) -> DataFrame:
-    """(token, line_id, open, n, i, s0, s1): prefix tokens of the distinct lines (doc_id, line, line_id, open)."""
+    """(token, line_id, open, n, i, s0, s1): prefix tokens of the distinct lines (doc_id, tie, line, line_id, open)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    lists = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_id", "open")).alias("lines"))
-    rows = docs.select("doc_id", "text").join(broadcast_if_small(lists, WANTED_ROWS // 2), "doc_id").select("lines", "text")
+    lists = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line", "line_id", "open")).alias("lines"))
+    rows = _texts_of(docs, broadcast_if_small(lists, WANTED_ROWS // 2))
 
     def run(batches):
         for batch in batches:
@@ -251,12 +258,12 @@ def matched_lines(docs: DataFrame, like: Likeness = LIKE) -> tuple[DataFrame, Da
     near = F.bit_count(F.col("o0").bitwiseXOR(F.col("h.o0"))) + F.bit_count(F.col("o1").bitwiseXOR(F.col("h.o1"))) <= apart
     star = keyed.join(heads, "m").where((F.col("line_id") != F.col("h.line_id")) & near)
     star = written(star.select(F.col("line_id").alias("a"), F.col("h.line_id").alias("b")).distinct(), "star")
-    placed = firsts.select(F.col("pos.doc_id").alias("doc_id"), F.col("pos.line").alias("line"), "line_id")
+    placed = firsts.select(F.col("pos.doc_id").alias("doc_id"), F.col("pos.tie").alias("tie"), F.col("pos.line").alias("line"), "line_id")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     tokens = token_table(docs, placed.join(ends(star), "line_id"))
     settled = written(_goes(verified(star, tokens, like), firsts), "settled")
 
-    state = placed.join(settled.withColumn("done", F.lit(True)), "line_id", "left").select("doc_id", "line", "line_id", F.col("done").isNull().alias("open"))
+    state = placed.join(settled.withColumn("done", F.lit(True)), "line_id", "left").select("doc_id", "tie", "line", "line_id", F.col("done").isNull().alias("open"))
     near = written(_candidates(postings(docs, state, word_order(docs), like), like).join(star, ["a", "b"], "left_anti"), "near-lines")
     more = token_table(docs, placed.join(ends(near), "line_id"))
     late = _goes(verified(near, more, like), firsts)

@@ -318,6 +318,14 @@ def test_line_dedup_equals_all_pairs(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_null_id_holds_the_first_line(spark):
+    words = [f"w{i}" for i in range(12)]
+    near = lambda i: " ".join([*words[:i], f"x{i}", *words[i + 1 :]])
+    rows = [(None, "only here\n" + " ".join(words)), (None, "apart from all others"), (1, " ".join(words)), (2, near(3) + "\nstays as it is"), (3, near(7)), (4, "a line of its own")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.text) for r in out.collect()} == {*rows[:2], (1, ""), (2, "stays as it is"), (3, ""), rows[5]}
+
+
 def plain_leaks(text, item, rate=decontaminate.RATE):
     low = lambda t: WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, b = low(text), low(item)
