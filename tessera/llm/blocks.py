@@ -6,6 +6,7 @@ Words never cross the end of a text. Null texts count as empty.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,28 +96,40 @@ def words(t: Texts, lower: bool = False) -> Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from their values and places alone."""
+    """A 64-bit hash of the bytes of each span, from their values and places alone: the sum of value times power of the
+    place, read off one running sum and shifted back to the start of the span."""
     out = np.empty(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    size = np.cumsum(ends - starts)
     i = 0
-    while i < len(starts):  # about a megabyte of words at a time
-        done = size[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(size, done + (1 << 20), "right")))
-        n = (ends - starts)[i:j]
-        own = np.cumsum(n) - n
-        total = int(n.sum())
-        inner = np.arange(total) - np.repeat(own, n)
-        powers = _powers(int(n.max()))
-        value = table[data[np.repeat(starts[i:j], n) + inner]] * powers[inner]
-        out[i:j] = mix(np.add.reduceat(value, own) + n.astype(np.uint64) * _STEP)
+    while i < len(starts):  # about a megabyte of text at a time
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+        at = starts[i]
+        power, inverse = _powers(int(ends[j - 1] - at) + 1)
+        total = np.zeros(ends[j - 1] - at + 1, np.uint64)
+        np.cumsum(table[data[at : ends[j - 1]]] * power[: len(total) - 1], out=total[1:])
+        n = ends[i:j] - starts[i:j]
+        out[i:j] = mix((total[ends[i:j] - at] - total[starts[i:j] - at]) * inverse[starts[i:j] - at] + n.astype(np.uint64) * _STEP)
         i = j
     return out
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _STEP, np.uint64)
+_INVERSE = _U(pow(int(_STEP), -1, 1 << 64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse; those of a megabyte are kept."""
+    return _kept_powers() if n <= _KEPT else (_power_row(_STEP, n), _power_row(_INVERSE, n))
+
+
+_KEPT = (1 << 20) + 1
+
+
+@functools.cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_row(_STEP, _KEPT), _power_row(_INVERSE, _KEPT)
+
+
+def _power_row(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
 
@@ -134,3 +147,30 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(k):
         out = mix(out + np.where(left > i, padded[at + i], _U(i + 1)))
     return out, off
+
+
+def parity(h: np.ndarray, off: np.ndarray, longs: int) -> list[np.ndarray]:
+    """Parity sketches of runs of distinct values, none empty, as `longs` columns: two sets differ in at least as many values
+    as their sketches differ in bits."""
+    v = mix(h ^ _U(0x1B873593))
+    bit, own = _U(1) << (v & _U(63)), (v >> _U(6)) & _U(longs - 1)
+    return [np.bitwise_xor.reduceat(np.where(own == _U(j), bit, _U(0)), off[:-1]) if len(off) > 1 else np.zeros(0, np.uint64) for j in range(longs)]
+
+
+def packed(x: np.ndarray, width: int, planes: bool = True) -> bytes:
+    """The low `width` bytes of each value; in planes, byte by byte, so that equal high bytes lie together and compress."""
+    x = np.ascontiguousarray(x)
+    if width == x.dtype.itemsize and not planes:
+        return x.tobytes()
+    low = x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width]
+    return (low.T if planes else low).tobytes()
+
+
+def unpacked(data: bytes, size: int, width: int, kind: type, planes: bool = True) -> np.ndarray:
+    """The values that packed() wrote."""
+    if width == np.dtype(kind).itemsize and not planes:
+        return np.frombuffer(data, kind)
+    out = np.zeros((size, np.dtype(kind).itemsize), np.uint8)
+    raw = np.frombuffer(data, np.uint8)
+    out[:, :width] = raw.reshape(width, size).T if planes else raw.reshape(size, width)
+    return out.view(kind)[:, 0]

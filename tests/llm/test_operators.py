@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, quality_rules, token_counts, token_ids, url_filter
 from tessera.llm.components import components
+from tessera.llm.shared import doc_tie
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [a + b for a in ("ka", "lo", "mi", "ne", "su", "ta", "ve", "zo") for b in ("ra", "den", "Lis", "mon,", "pek.", "qui", "sól", "the", "of", "")]
@@ -228,8 +229,7 @@ def plain_classes(rows, n, num, den):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            both_named = rows[i][0] is not None and rows[j][0] is not None
-            if a and b and (a == b or both_named and den * len(a & b) >= num * len(a | b)):
+            if a and b and den * len(a & b) >= num * len(a | b):
                 parent[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):
@@ -284,37 +284,55 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def plain_line_dedup(rows):
-    order = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows if r[1] is not None})
-    assert len({o[:2] for o in order if o[0]}) == len([o for o in order if o[0]])
-    seen, out = [], {}
+def plain_line_dedup(rows, tie=lambda i, text: text):
+    """The new text of each distinct (has id, id, text); rows of one id are ordered by tie."""
+    order = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda o: (o[0], o[1], tie(o[1] if o[0] else None, o[2])))
+    by_token, out = {}, {}
     for has, i, text in order:
         keep = []
         for line in text.split("\n"):
             s = plain_set(line, 1)
-            if s and any(10 * len(s & o) >= 8 * len(s | o) for o in seen):
-                pass
-            else:
+            near = {o for t in s for o in by_token.get(t, ())}
+            if not any(10 * len(s & o) >= 8 * len(s | o) for o in near):
                 keep.append(line)
-            if s:
-                seen.append(s)
+            for t in s:
+                by_token.setdefault(t, set()).add(s)
         out[has, i, text] = "\n".join(keep)
     return out
 
 
-def test_line_dedup_equals_all_pairs(spark):
-    rows = [r for r in corpus(seed=8, n=30) if r[1] is None or len(r[1]) < 5000]
-    rows = [r for r in rows if r[0] is not None or r[1] != "null id here"]  # one null id: its order among nulls is by hash
-    rows = [r for r in rows if r[0] is not None] + [(None, "first of all\nkalis nera tamon zoqui vede", "", "", 0)]
-    frame = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("_gone", F.lit("clash")).withColumn("tie", F.lit(1))
-    out = line_dedup.dedup_lines(frame)
-    assert set(out.columns) == {*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "tie", "n_lines_removed"}
-    want = plain_line_dedup(rows)
-    joined = {(r[0] is not None, r[0] or 0): r[1] for r in rows}
-    for r in out.collect():
-        key = (r.doc_id is not None, r.doc_id or 0)
-        assert r.text == (None if joined[key] is None else want[(*key, joined[key])])
-    assert out.count() == len(rows)
+def spark_tie(spark, rows):
+    """The hash that orders rows of one doc_id."""
+    frame = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    ties = {(r.doc_id, r.text): r.tie for r in frame.select("doc_id", "text", doc_tie(F.col("doc_id"), F.col("text")).alias("tie")).collect()}
+    return lambda i, text: ties[i, text]
+
+
+def near_lines(rng, n):
+    """A group of near copies of one line, and lines of few words."""
+    base = [rng.choice(VOCABULARY) + str(i) for i in range(20)]
+    copies = [" ".join(rng.choice(VOCABULARY) if rng.random() < 0.08 else w for w in base) for _ in range(n)]
+    return [c + "\n" + " ".join(rng.choice(VOCABULARY[:12]) for _ in range(3)) for c in copies]
+
+
+@pytest.mark.parametrize("limits", [line_dedup.LIMITS, line_dedup.Limits(seen=5, postings=200, bucket=300, hot=60, quota=1, few=1, large=4, neighbours=2)])
+def test_line_dedup_equals_all_pairs(spark, limits):
+    rng = random.Random(8)
+    rows = [*corpus(seed=8, n=30)]
+    base = prose(rng, 40)
+    rows += [(None, edited(rng, base, 2), "", "", 0), (None, edited(rng, base, 3), "", "", 0), (5, edited(rng, base, 1), "", "", 0), (-(1 << 63), edited(rng, base, 1), "", "", 0), (700, base, "", "", 0), (700, base, "", "", 0)]
+    rows += [(800 + i, t, "", "", 0) for i, t in enumerate(near_lines(rng, 120))]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("_gone", F.lit("clash")).withColumn("tie", F.lit(1)).withColumn("_doc", F.lit(2))
+    out = line_dedup.dedup_lines(frame.withColumn("n_lines_removed", F.lit("clash")).withColumn("old", F.col("text")), limits=limits).collect()
+    assert set(out[0].asDict()) == {*frame.columns, "old", "n_lines_removed"} and out[0]["_gone"] == "clash"
+    want = plain_line_dedup(rows, spark_tie(spark, rows))
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.text == (None if r.old is None else want[r.doc_id is not None, r.doc_id or 0, r.old])
+        assert (r.n_lines_removed == 0) == (r.text == r.old)
+
+
+def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
