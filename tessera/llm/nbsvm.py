@@ -2,9 +2,9 @@
 
 Features are indicators of word unigrams and bigrams and of one- to three-grams of word shapes (case, digits,
 last character, length class, "same as the word before"), hashed to DIMENSIONS. Class counts of each feature come from all
-training rows. The machine (hinge loss, L2, dual coordinate descent) is fitted on at most SAMPLE_ROWS of
-them, on indicators scaled by the log-count ratios and by 1/sqrt(number of features); held-out margins of two
-halves fix the sigmoid that makes scores.
+training rows. The machine (hinge loss, L2, dual coordinate descent) is fitted on at most SAMPLE_ROWS and about SAMPLE_BYTES of
+their distinct texts, on indicators scaled by the log-count ratios and by 1/sqrt(number of features); held-out margins of two
+halves fix the sigmoid that makes scores. Copies of a text count in the ratios and are one text of the sample, in one half.
 
 Defined results: null, empty and blank texts have no feature and get the score of the bias; repeated rows are
 scored one by one and each counts in training; rows with a null label are not trained on; without rows of both classes every score is the
@@ -28,6 +28,7 @@ from tessera.llm.shared import written
 BITS = 18
 DIMENSIONS = 1 << BITS
 SAMPLE_ROWS = 8000
+SAMPLE_BYTES = 256 << 20  # of feature ids, about
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -137,7 +138,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """labelled (text, label 0/1). Counts use every row; the machine at most sample_rows, chosen by hash of the text."""
+    """labelled (text, label 0/1). Counts use every row; the machine at most sample_rows distinct texts, chosen by their hash."""
     rows = labelled.where("label IS NOT NULL").select(F.xxhash64("text").alias("key"), F.col("label").cast("int").alias("label"), "text")
     rows = written(rows.mapInArrow(_feature_batches, "key long, label int, ids binary"), "nbsvm-features")
     counts = rows.mapInArrow(_count_batches, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
@@ -150,11 +151,13 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     pos[counts["f"]] += counts["pos"]
     neg[counts["f"]] += counts["neg"]
     r = np.log(pos / (n1 + 2)) - np.log(neg / (n0 + 2))
-    share = min(1.0, sample_rows / (n1 + n0))
-    sample = rows.where(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("key").limit(sample_rows).select("label", "ids").toPandas()
+    texts, size = rows.select("key", "label", F.octet_length("ids").alias("size")).distinct().agg(F.count("*"), F.sum("size")).first()
+    share = min(1.0, 1.2 * sample_rows / texts, SAMPLE_BYTES / max(size, 1))
+    drawn = rows.where(F.pmod("key", F.lit(1 << 62)) < int(share * (1 << 62))).groupBy("key", "label").agg(F.first("ids").alias("ids"))
+    sample = drawn.orderBy("key", "label").limit(sample_rows).toPandas()
     ids = [np.frombuffer(b, np.uint32) for b in sample["ids"]]
     y = np.where(sample["label"] == 1, 1.0, -1.0)
-    half = np.arange(len(ids)) % 2
+    half = (mix(sample["key"].to_numpy(np.int64).view(np.uint64)) & _U(1)).astype(np.int64)
     margin = np.zeros(len(ids))
     for side in (0, 1):
         w = fit_hinge([ids[k] for k in np.flatnonzero(half != side)], y[half != side], r)
