@@ -7,13 +7,15 @@ run of characters other than 0x20 and 0x09-0x0D. A character that no piece cover
 and counts as its UTF-8 bytes. Among equal scores the longest last piece wins.
 
 Defined results: null, empty and blank texts count 0; repeated rows are counted one by one; an empty table gives no rows;
-other columns pass through; one named n_words or n_tokens is replaced. A trie that outgrows MAX_NODES starts anew,
-so memory is bounded whatever the vocabulary of the corpus; the counts do not change.
+other columns pass through; one named n_words or n_tokens is replaced. A trie that outgrows MAX_NODES starts anew, also within a
+text, and a word of more than LONG_WORD characters keeps only the scores that its longest piece reaches back to,
+so memory is bounded whatever the words of the corpus; the counts do not change.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MAX_NODES = 1_500_000
+LONG_WORD = 1000  # characters beyond which a word's prefixes do not join the trie
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
@@ -60,7 +63,7 @@ class PieceTrie:
             following = child.get((node, c))
             if following is None:
                 following = child[node, c] = len(best)
-                top, n = self._forward(text, d, path)
+                top, n = self._forward(text, d, path, best, tokens)
                 best.append(top)
                 tokens.append(n)
             node = following
@@ -68,9 +71,9 @@ class PieceTrie:
         n = self.known[word] = tokens[node]
         return n
 
-    def _forward(self, text: str, d: int, path: list[int]) -> tuple[float, int]:
-        """Best score and its tokens for text[:d], from the scores of its prefixes."""
-        get, best, tokens = self.pieces.get, self.best, self.tokens
+    def _forward(self, text: str, d: int, path: Sequence[int], best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Best score and its tokens for text[:d], from the scores of its prefixes: that of text[:i] stands at path[i]."""
+        get = self.pieces.get
         top, n = None, 0
         for start in range(max(0, d - self.longest), d):
             score = get(text[start:d])
@@ -93,9 +96,27 @@ class PieceTrie:
         try:
             return len(split), sum([known[w] for w in split])
         except KeyError:
-            for w in set(split).difference(known):
-                self.count(w)
-            return len(split), sum([known[w] for w in split])
+            total = 0
+            for w in split:
+                n = self.known.get(w)
+                if n is None:
+                    if len(self.best) > MAX_NODES:
+                        self.clear()
+                    n = self.count(w) if len(w) < LONG_WORD else self.count_long(w)
+                total += n
+            return len(split), total
+
+    def count_long(self, word: str) -> int:
+        """Tokens of a word, without a trace in the trie."""
+        text, best, tokens, gone = "▁" + word, [0.0], [0], 0
+        for d in range(1, len(text) + 1):
+            top, n = self._forward(text, d, range(-gone, len(best)), best, tokens)
+            best.append(top)
+            tokens.append(n)
+            if len(best) > 4 * self.longest + 1000:
+                gone += len(best) - self.longest - 1
+                del best[: -self.longest - 1], tokens[: -self.longest - 1]
+        return tokens[-1]
 
 
 def default_path() -> str:
