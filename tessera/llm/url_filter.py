@@ -10,7 +10,7 @@ estimator run.
 Defined results: a null url, or one without `://`, has an empty host and path, no rule and verdict allow
 unless a mined rule holds for its empty token set (none does). Repeated rows are judged alike; a row with a null
 label does not take part in mining; no labelled url, or no rule that survives, leaves every url to the fixed
-rules. Other columns pass through; one that carries a name of ours is replaced.
+rules. Other columns pass through; those named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import broadcast_if_small
+from tessera.llm.shared import broadcast_if_small, unused
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -104,11 +104,15 @@ def judge(pages: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES)
     """pages with host, path, rule and verdict. labelled (url, bad boolean) are the urls to learn from.
 
     Urls share few token sets (numbers are folded), so sets are made distinct before they are matched."""
-    host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
-    out = pages.drop("host", "path", "rule", "verdict", "_fixed", "tokens").withColumn("host", host).withColumn("path", path)
-    out = out.withColumn("tokens", tokens_of(F.col(f"`{url}`"), F.col("host"), F.col("path"))).withColumn("_fixed", fixed_rule(F.col("host"), F.col("path"), rules))
+    u = F.col(f"`{url}`")
+    out = pages.drop("host", "path", "rule", "verdict")
+    columns = [F.col(f"`{c}`") for c in out.columns]
+    tokens, fixed, hit = unused(out, "tokens", "fixed", "hit")
+    out = out.withColumn("host", host_of(u)).withColumn("path", path_of(u))
+    out = out.withColumn(tokens, tokens_of(u, F.col("host"), F.col("path"))).withColumn(fixed, fixed_rule(F.col("host"), F.col("path"), rules))
     known = labelled.select("url", "bad").withColumn("tokens", tokens_of(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))))
-    bad = match(out.where(F.col("_fixed").isNull()).select("tokens").distinct(), mine(known)).withColumn("_bad", F.lit(True))
-    out = out.join(broadcast_if_small(bad, INDEX_ROWS), "tokens", "left")
-    verdict = F.coalesce(F.col("_fixed.verdict"), F.when(F.col("_bad"), "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_fixed.rule")).withColumn("verdict", verdict).drop("_fixed", "_bad", "tokens")
+    bad = match(out.where(F.col(fixed).isNull()).select(F.col(tokens).alias("tokens")).distinct(), mine(known))
+    bad = bad.select(F.col("tokens").alias(tokens), F.lit(True).alias(hit))
+    out = out.join(broadcast_if_small(bad, INDEX_ROWS), tokens, "left")
+    verdict = F.coalesce(F.col(f"{fixed}.verdict"), F.when(F.col(hit), "block").otherwise("allow"))
+    return out.select(*columns, "host", "path", F.col(f"{fixed}.rule").alias("rule"), verdict.alias("verdict"))

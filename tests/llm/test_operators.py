@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, quality_rules, token_counts, token_ids, url_filter
+from tessera.llm.blocks import Texts
 from tessera.llm.components import components
 from tessera.llm.shared import doc_tie
 
@@ -104,6 +105,46 @@ def test_classifier_separates_and_scores_every_row(spark, docs, rows):
     assert nbsvm.train(spark.createDataFrame([], "text string, label int")).b == 0
 
 
+def test_classifier_is_not_taken_over_by_copies(spark):
+    rng = random.Random(2)
+    good = [(prose(rng, 60, lines=False), 1) for _ in range(150)]
+    bad = [(" ".join([rng.choice(VOCABULARY).upper() + "!!"] * 40), 0) for _ in range(150)]
+    held = [(prose(rng, 60, lines=False), 1) for _ in range(30)] + [(" ".join([rng.choice(VOCABULARY).upper() + "!!"] * 30), 0) for _ in range(30)]
+    for copied in (good[0], bad[0]):
+        model = nbsvm.train(spark.createDataFrame([*good, *bad, *[copied] * 2000], "text string, label int"), sample_rows=200)
+        out = nbsvm.score(spark.createDataFrame(held, "text string, label int"), model).collect()
+        assert sum((r.score >= 0.5) == r.label for r in out) >= 57
+
+
+def test_hinge_fit_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    r = rng.normal(size=12)
+    rows = [np.flatnonzero(rng.random(12) < 0.5).astype(np.uint32) for _ in range(40)]
+    y = np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    x = np.zeros((40, 13))
+    for k, i in enumerate(rows):
+        x[k, i], x[k, 12] = r[i] / np.sqrt(max(len(i), 1)), 1.0
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (x @ w)).sum()
+    w, best = np.zeros(13), np.inf
+    for t in range(1, 60001):  # a plain subgradient descent
+        w = w - (w - (y[:, None] * x)[y * (x @ w) < 1].sum(axis=0)) / (t + 10)
+        best = min(best, loss(w)) if t % 50 == 0 else best
+    assert loss(nbsvm.fit_hinge(rows, y, r, epochs=400)) <= best * 1.01
+
+
+def test_class_counts_equal_a_plain_count(spark):
+    rng = random.Random(6)
+    known = [(prose(rng, 20, lines=False), i % 2) for i in range(30)]
+    rows = spark.createDataFrame([(i, l, t) for i, (t, l) in enumerate(known)], "key long, label int, text string")
+    made = rows.mapInArrow(nbsvm._feature_batches, "key long, label int, ids binary").mapInArrow(nbsvm._count_batches, "f long, pos long, neg long")
+    got = {r.f: (r.pos, r.neg) for r in made.groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}
+    want = Counter()
+    for text, label in known:
+        for f in nbsvm.features(Texts(0, np.array([0, len(text.encode())]), np.frombuffer(text.encode(), np.uint8)))[0].tolist():
+            want[f, label] += 1
+    assert got == {f: (want[f, 1], want[f, 0]) for f, _ in want}
+
+
 @pytest.fixture(scope="module")
 def ids():
     from tokenizers import Tokenizer
@@ -199,8 +240,8 @@ def test_token_counts_equal_a_library(spark, docs, rows):
     for r in token_counts.count_tokens(docs.withColumn("n_words", F.lit("clash"))).collect():
         words = WORDS.findall(r.text or "")
         assert r.n_words == len(words)
-        if len(words) < 1000:
-            assert r.n_tokens == sum(len(t.encode("▁" + w).ids) for w in words)
+        each = {w: len(t.encode("▁" + w).ids) for w in set(words)}
+        assert r.n_tokens == sum(each[w] for w in words)
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
@@ -212,6 +253,17 @@ def test_trie_restart_changes_nothing(monkeypatch):
     assert [one.count_text(t) for t in texts] == [(two.clear(), two.count_text(t))[1] for t in texts]
 
 
+def test_trie_stays_bounded_within_one_text_and_word(monkeypatch):
+    pieces = {"▁": -3.0, "a": -1.0, "b": -1.0, "ab": -1.5, "▁ab": -2.0}
+    whole, small = token_counts.PieceTrie(pieces), token_counts.PieceTrie(pieces)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abx") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    want = whole.count_text(" ".join(words))
+    monkeypatch.setattr(token_counts, "MAX_NODES", 100)
+    monkeypatch.setattr(token_counts, "LONG_WORD", 20)
+    assert small.count_text(" ".join(words)) == want and len(small.best) <= 100 + 21
+
+
 def plain_set(text, n):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -348,7 +400,7 @@ def plain_leaks(text, item, rate=decontaminate.RATE):
     low = lambda t: WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, b = low(text), low(item)
     k, best = int(len(b) * rate), None
-    if len(b) < decontaminate.MIN_WORDS:
+    if not b:
         return None
     for s in range(len(w)):
         window = w[s : s + len(b)]
@@ -365,12 +417,12 @@ def plain_leaks(text, item, rate=decontaminate.RATE):
 
 def test_decontamination_equals_all_windows(spark):
     rng = random.Random(11)
-    items = [prose(rng, rng.randrange(6, 40)).upper() for _ in range(12)] + ["too short", None, ""]
+    items = [prose(rng, rng.randrange(6, 40)).upper() for _ in range(12)] + ["zzz yyy xxx www", "vvv", None, ""]
     texts = [prose(rng, 60) for _ in range(10)]
     for item in items[:12]:
         for edits in (0, 1, 2, 4):
             texts.append(prose(rng, rng.randrange(0, 30)) + edited(rng, item, edits) + " " + prose(rng, rng.randrange(0, 20)))
-    texts += ["", None, items[0], items[0]]
+    texts += ["", None, items[0], items[0], "a ZZZ yyy xxx www b", "zzz yyy www", "a\nvvv", prose(rng, 20000) + items[3] + " " + prose(rng, 3000), " ".join(items[4].split()[:-1])]
     rows = [*enumerate(texts), (None, items[1])]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([*enumerate(items), (None, items[2])], "item_id long, text string")
@@ -387,6 +439,22 @@ def test_decontamination_equals_all_windows(spark):
     assert decontaminate.leaks(empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("m", [6, 10, 15, 25, 60, 100])
+def test_decontamination_recall_at_the_largest_distance(m):
+    rng = np.random.default_rng(m)
+    found, trials = 0, 150
+    k = int(m * decontaminate.RATE + 1e-9)
+    items = decontaminate.Items.of([(0, " ".join(f"w{i}" for i in range(m)))], decontaminate.RATE)
+    item = items.items[0].words
+    for _ in range(trials):
+        window = item.copy()
+        window[rng.permutation(m)[:k]] = rng.integers(1, 1 << 62, k).astype(np.uint64)
+        h = np.concatenate([rng.integers(1, 1 << 62, 20).astype(np.uint64), window, rng.integers(1, 1 << 62, 20).astype(np.uint64)])
+        w = decontaminate.Words(np.arange(len(h)), np.arange(len(h)), h, np.array([0, len(h)]))
+        found += bool(decontaminate.find(w, items))
+    assert found >= 0.9 * trials
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -400,10 +468,11 @@ def plain_rule(url):
 
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/1?q=1", "https://x.net/a", "https://x.net", "https://notnet/a", "https://example.com/de/x#t", "https://wexample.com/de/", "http://b.org/fr/", "http://b.org/fr", None, "", "nothing", "a://b://c.net/d", "http://é.net/ü\nx", "http://x.net?/en/"]
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string").withColumn("_bad", F.lit(7)).withColumn("tokens", F.lit(8)).withColumn("_fixed", F.lit(9))
     known = spark.createDataFrame([(f"http://spam{i}.biz/win/{i}", True) for i in range(40)] + [(f"http://good.org/en/{i}", False) for i in range(200)] + [("http://x.biz/", None)], "url string, bad boolean")
-    more = pages.unionByName(spark.createDataFrame([(100, "http://other.biz/win/9", ""), (101, "http://other.info/en/9", "")], pages.schema))
+    more = pages.unionByName(spark.createDataFrame([(100, "http://other.biz/win/9", "", 7, 8, 9), (101, "http://other.info/en/9", "", 7, 8, 9)], pages.schema))
     out = {r.page_id: r for r in url_filter.judge(more, known).collect()}
+    assert {(r["_bad"], r.tokens, r["_fixed"]) for r in out.values()} == {(7, 8, 9)}
     for i, u in enumerate([*urls, urls[0]]):
         host, path, rule, verdict = plain_rule(u)
         assert (out[i].host, out[i].path, out[i].rule) == (host, path, rule)
