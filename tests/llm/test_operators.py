@@ -439,6 +439,20 @@ def test_decontamination_equals_all_windows(spark):
     assert decontaminate.leaks(empty(spark), bench).count() == 0
 
 
+def test_edit_distance_equals_a_plain_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        masks = {x: sum(1 << i for i, y in enumerate(a) if x == y) for x in a}
+        assert decontaminate.distance(masks, len(a), b) == row[-1]
+
+
 @pytest.mark.parametrize("m", [6, 10, 15, 25, 60, 100])
 def test_decontamination_recall_at_the_largest_distance(m):
     rng = np.random.default_rng(m)
