@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -48,9 +48,13 @@ class Texts:
 
 def utf8(column: pa.Array) -> Texts:
     """The bytes of a string column."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if column.type not in (pa.string(), pa.large_string()):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    off = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return Texts(0, off - off[0], raw[off[0] : off[-1]]) if len(column) else Texts(0, np.zeros(1, np.int64), raw[:0])
 
@@ -100,8 +104,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     place, read off one running sum and shifted back to the start of the span."""
     out = np.empty(len(starts), np.uint64)
     i = 0
-    while i < len(starts):  # about a megabyte of text at a time
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+    while i < len(starts):  # some text at a time
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _KEPT - 1, "right")))
         at = starts[i]
         power, inverse = _powers(int(ends[j - 1] - at) + 1)
         total = np.zeros(ends[j - 1] - at + 1, np.uint64)
@@ -116,11 +120,11 @@ _INVERSE = _U(pow(int(_STEP), -1, 1 << 64))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _STEP and of its inverse; those of a megabyte are kept."""
+    """Powers of _STEP and of its inverse; those up to _KEPT are kept."""
     return _kept_powers() if n <= _KEPT else (_power_row(_STEP, n), _power_row(_INVERSE, n))
 
 
-_KEPT = (1 << 20) + 1
+_KEPT = (1 << 18) + 1
 
 
 @functools.cache

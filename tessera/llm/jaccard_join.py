@@ -10,8 +10,8 @@ one-deletion neighbourhoods, whose keys also meet across one differing n-gram.
 Keys travel in columns, one row per task and bucket of keys; a task names its own sets that meet under a key at once and
 hands on two of them, so a frequent key stays small. Sets that share a key are compared with hubs first (the member found
 under most keys), so a large group of copies costs one comparison per member. Only pairs that hubs leave in
-different classes are then compared. A pair goes by its sizes and 512-bit parity sketches first; n-grams are fetched for the pairs that
-these do not prove too far apart, and every link is an exact Jaccard. No candidate is dropped or capped, so no link
+different classes are then compared. A pair goes by its sizes and parity sketches first, of 512 bits or as many as a set has n-grams;
+n-grams are fetched for the pairs that these do not prove too far apart, and every link is an exact Jaccard. No candidate is dropped or capped, so no link
 between different sets is lost to the classes.
 
 Equal sets are joined by their 64-bit hash before the join, so exact copies take part once.
@@ -34,16 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import blocks, mix, packed, parity, shingles, unpacked, words
+from tessera.llm.blocks import blocks, mix, packed, shingles, unpacked, words
 from tessera.llm.components import components
 from tessera.llm.shared import doc_key, doc_tie, looked_up, unused, written
 
 _U = np.uint64
 LIGHT = 2  # a cell with fewer n-grams is nearly empty
 HUB_ROUNDS = 3
-SKETCH = 8  # longs
+SKETCH = 8  # longs of the shortest sketch
 SEEN = 1_000_000  # sets a task remembers, so as to index equal sets once
-HELD = 3_000_000  # keys a task holds before it hands them on
+HELD = 500_000  # keys a task holds before it hands them on
 BUCKET = 500_000  # keys meant for one bucket
 KEY_BYTES = 5  # of a key within its bucket; sets that meet by chance are told apart later
 KEYS = "kind int, bucket long, size int, keys binary, ids binary, runs binary"
@@ -140,6 +140,16 @@ def _lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of a set by the low bits of its hashes: a power of two of bits, as many as it has n-grams. A sketch of
+    half the length is the sum of its halves."""
+    longs = SKETCH
+    while 64 * longs < len(s):
+        longs *= 2
+    ones = np.bincount((s & _U(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(ones.astype(np.uint8)).view(np.uint64)
+
+
 def set_table(docs: DataFrame, like: Likeness) -> DataFrame:
     """(doc_id, doc, tie, n, set_id, sketch) of every row; set_id is null for an empty set."""
 
@@ -147,9 +157,8 @@ def set_table(docs: DataFrame, like: Likeness) -> DataFrame:
         for batch in batches:
             for first, sets in _sets(batch.column("text"), like.n):
                 own = [batch.column(c).slice(first, len(sets)) for c in ("doc_id", "doc", "tie")]
-                full = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
-                sketch = np.stack(parity(np.concatenate(full), np.append(0, np.cumsum([len(s) for s in full])), SKETCH), 1)
-                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sketch.ravel(), np.arange(len(sets) + 1) * SKETCH)], ["doc_id", "doc", "tie", "n", "set_id", "sketch"])
+                sketch = [_sketch(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), _lists(np.concatenate(sketch), np.append(0, np.cumsum([len(x) for x in sketch])))], ["doc_id", "doc", "tie", "n", "set_id", "sketch"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, doc long, tie long, n long, set_id long, sketch array<long>")
 
@@ -252,8 +261,8 @@ def token_table(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame
                 if kept:
                     off = np.append(0, np.cumsum([len(s) for _, s in kept]))
                     grams = np.concatenate([s for _, s in kept])
-                    sketch = np.stack(parity(grams, off, SKETCH), 1).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.int64()), pa.array(np.diff(off)), _lists(grams, off), _lists(sketch, np.arange(len(kept) + 1) * SKETCH)], ["set_id", "n", "grams", "sketch"])
+                    sketch = [_sketch(s) for _, s in kept]
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.int64()), pa.array(np.diff(off)), _lists(grams, off), _lists(np.concatenate(sketch), np.append(0, np.cumsum([len(x) for x in sketch])))], ["set_id", "n", "grams", "sketch"])
 
     rows = looked_up(_keyed(docs), written(lists, "wanted"), ["doc", "tie"], "inner").select("set_id", "text")
     made = written(rows.mapInArrow(run, "set_id long, n long, grams array<long>, sketch array<long>"), "grams")
@@ -264,8 +273,10 @@ def token_table(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame
 
 def _may_link(like: Likeness, na: Column, nb: Column, a: Column, b: Column) -> Column:
     """False only where sizes or parity sketches prove a pair too far apart."""
-    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH)), F.bit_count(a[0].bitwiseXOR(b[0])))
-    return (like.den * na >= like.num * nb) & (like.den * nb >= like.num * na) & (apart * (like.den + like.num) <= (na + nb) * (like.den - like.num))
+    sizes = (like.den * na >= like.num * nb) & (like.den * nb >= like.num * na)  # from Jaccard 1/2 on lengths differ by one doubling at most; below, nothing is ruled out
+    half = lambda x, y: F.when(F.size(x) <= F.size(y), x).otherwise(F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda u, v: u.bitwiseXOR(v)))
+    apart = F.aggregate(F.zip_with(half(a, b), half(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, x: t + x)
+    return sizes & (F.coalesce(apart, F.lit(0)) * (like.den + like.num) <= (na + nb) * (like.den - like.num))
 
 
 def sieved(pairs: DataFrame, facts: DataFrame, like: Likeness) -> DataFrame:

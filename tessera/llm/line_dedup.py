@@ -44,7 +44,7 @@ from tessera.llm.shared import doc_key, doc_tie, looked_up, unused, written
 _U = np.uint64
 LIKE = Likeness(1, 8, 10)
 ORDERED = 500_000
-COUNTED = 2_500_000  # word hashes a task holds before it sums them
+COUNTED = 1_500_000  # word hashes a task holds before it sums them
 WORD_BITS = 10
 WORD_BUCKETS = 1 << WORD_BITS  # parts of the vocabulary, each summed by one task
 PAIRS = 400_000  # pairs a bucket looks at together
@@ -101,16 +101,16 @@ class Order:
 
     def __init__(self, words_: np.ndarray, counts: np.ndarray):
         by = np.lexsort((words_, counts))
-        self.words, self.counts = words_[by], counts[by]
-        self.mask = (1 << max(4, int(4 * len(words_)).bit_length())) - 1
-        self.rank = np.full(self.mask + 1, -1, np.int64)
+        ranked, self.counts = words_[by], counts[by]
+        self.mask = (1 << max(4, int(2 * len(words_)).bit_length())) - 1
+        self.rank = np.full(self.mask + 1, -1, np.int32)
         self.key = np.zeros(self.mask + 1, np.uint64)
-        left, step = np.arange(len(self.words)), 0
+        left, step = np.arange(len(ranked)), 0
         while len(left):
-            slot = self._slot(self.words[left], step)
+            slot = self._slot(ranked[left], step)
             free = self.rank[slot] < 0
             self.rank[slot[free]] = left[free]  # the last of equal slots stays
-            self.key[slot] = self.words[self.rank[slot]]
+            self.key[slot] = ranked[self.rank[slot]]
             left, step = left[self.rank[slot] != left], step + 1
 
     def _slot(self, h: np.ndarray, step: int) -> np.ndarray:

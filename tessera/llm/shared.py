@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ LOOKUP_BYTES = 32 << 20  # largest table of lists that is broadcast to the rows
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")  # one machine: any folder is shared
+        spark.conf.set(CHECKPOINT_KEY, folder)
     if not folder:
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
     return folder.rstrip("/")
