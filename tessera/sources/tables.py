@@ -13,11 +13,13 @@ REQUIRED = ("id", "text", "language", "topic_id", "topic", "subtopic_id", "datas
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir, which the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")  # one machine: any folder is shared
         spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

@@ -242,3 +242,23 @@ def test_registry_names_and_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_distinct_texts_walk_on_past_a_block(spark):
+    from tessera.operators import retrieval
+
+    words = lambda i: ["same", "words", "here"] if i <= 7 else [f"w{i}", f"x{i}"]
+    rows = spark.createDataFrame([(q, i, i, words(i)) for q in (1, 2) for i in range(1, 15 - q)], "qid long, id long, rank int, words array<string>")
+    want = {(q, i, p) for q in (1, 2) for p, i in enumerate((1, 8, 9), 1)}
+    for block in (2, 5, 200):
+        out = retrieval.suppress_text_duplicates(rows, 3, block=block).collect()
+        assert {(r.qid, r.id, r.place) for r in out} == want
+
+
+def test_overlap_audit_finds_short_passages(spark, tmp_path):
+    from tessera.plans import topic_queries
+
+    docs = [(1, "a text with short one inside", "en"), (2, "another text", "en"), (3, "it holds a passage of more than twenty four characters", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "short one"), (2, "a passage of more than twenty four")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert topic_queries.overlap_audit(spark, f"file://{tmp_path}").first().overlapping == 2
