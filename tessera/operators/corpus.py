@@ -37,14 +37,14 @@ def dedup_first_wins(rows: DataFrame, order: str, keys: list[str], save) -> Data
 
 def map_rubric(rows: DataFrame, section: Column, table: DataFrame, ignored: DataFrame) -> DataFrame:
     """rubric by canonical section: the mapped name; "unlabelled" for ignored sections; null for unknown ones."""
-    out = rows.withColumn("_s", section).join(F.broadcast(table.toDF("_s", "rubric")), "_s", "left").join(F.broadcast(ignored.toDF("_s").withColumn("_i", F.lit(True))), "_s", "left")
+    out = rows.withColumn("_s", section).join(table.toDF("_s", "rubric"), "_s", "left").join(ignored.toDF("_s").withColumn("_i", F.lit(True)), "_s", "left")
     return out.withColumn("rubric", F.coalesce("rubric", F.when(F.col("_i"), "unlabelled"))).drop("_s", "_i")
 
 
 def demote_small(rows: DataFrame, rubric: str, least: int = 25) -> DataFrame:
     """Rubrics of fewer rows become unlabelled. Counts are summed before they are joined back."""
     small = rows.groupBy(rubric).agg(F.count("*").alias("_n")).where(F.col("_n") < least).select(rubric).withColumn("_d", F.lit(True))
-    return rows.join(F.broadcast(small), rubric, "left").withColumn(rubric, F.when(F.col("_d"), "unlabelled").otherwise(F.col(rubric))).drop("_d")
+    return rows.join(small, rubric, "left").withColumn(rubric, F.when(F.col("_d"), "unlabelled").otherwise(F.col(rubric))).drop("_d")
 
 
 def stratified_split(rows: DataFrame, rubric: str, key: str, shares: tuple[float, float] = (0.7, 0.15), seed: str = "42") -> DataFrame:
@@ -56,7 +56,7 @@ def stratified_split(rows: DataFrame, rubric: str, key: str, shares: tuple[float
     per = marked.groupBy(rubric, "_b").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(rubric)
     per = per.select(rubric, "_b", (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
-    out = marked.join(F.broadcast(per), [rubric, "_b"])
+    out = marked.join(per, [rubric, "_b"])
     place = F.col("_before") + F.row_number().over(Window.partitionBy(rubric, "_b").orderBy("_h", key))
     train, held = F.round(F.col("_n") * shares[0]), F.round(F.col("_n") * shares[1])
     split = F.when(F.col(rubric) == "unlabelled", "pool").when(F.col("_p") <= train, "train").when(F.col("_p") <= train + held, "validation").otherwise("test")
@@ -86,6 +86,20 @@ def quality_report(rows: DataFrame, text: str, group: list[str]) -> DataFrame:
     )
 
 
+def build_report(rows: DataFrame, order: str, text: str, fields: list[str], known: DataFrame, section: str, least: int = 200) -> DataFrame:
+    """(field, value, n) of a corpus build: rows read, skipped as short (null text is empty) or as a repeat of an earlier
+    prefix, what is kept by each of fields, and kept rows by sections that are not in known (one column)."""
+    marked = rows.withColumn("_short", F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) < least).withColumn("_p", F.md5(prefix_key(F.col(text))))
+    first = marked.where("NOT _short").groupBy("_p").agg(F.min(order).alias("_first"))
+    marked = marked.join(first, "_p", "left").withColumn("_state", F.when(F.col("_short"), "short").when(F.col(order) != F.col("_first"), "duplicate").otherwise("kept"))
+    marked = marked.join(known.toDF(section).distinct().withColumn("_known", F.lit(True)), section, "left")
+    kept = F.col("_state") == "kept"
+    said = lambda name, value: F.struct(F.lit(name).alias("field"), F.coalesce(value.cast("string"), F.lit("")).alias("value"))
+    entries = [said("outcome", F.col("_state")), *[F.when(kept, said(f, F.col(f))) for f in fields], F.when(kept & F.col("_known").isNull(), said("unknown section", F.col(section)))]
+    flat = marked.select(F.explode(F.array_compact(F.array(*entries))).alias("x"))
+    return flat.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
 def localized_names(docs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with the one name of (topic, language), else their own; and the pairs with more than one name."""
     one = names.groupBy("topic", "language").agg(F.min("name").alias("_name"), F.count_distinct("name").alias("names"))
@@ -101,10 +115,10 @@ def c_tf_idf(rows: DataFrame, top: int, share_groups: float = 0.7, share_docs: f
     per_doc = rows.groupBy("grp", "doc", "term").agg(F.count("*").alias("c"))
     n = per_doc.groupBy("grp", "term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
     size = n.groupBy("grp").agg(F.sum("n").alias("size"))
-    docs = rows.select("grp", "doc").distinct().groupBy("grp").agg(F.count("*").alias("of"))
+    docs = per_doc.select("grp", "doc").distinct().groupBy("grp").agg(F.count("*").alias("of"))
     every = n.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("groups"))
     mean = size.agg(F.avg("size").alias("mean"), F.count("*").alias("all_groups"))
-    out = n.where("n >= 2").join(F.broadcast(size), "grp").join(F.broadcast(docs), "grp").join(every, "term").join(F.broadcast(mean))
+    out = n.where("n >= 2").join(size, "grp").join(docs, "grp").join(every, "term").join(F.broadcast(mean))  # mean is one row
     floor = F.when(F.col("of") >= 5, F.greatest(F.lit(2.0), share_docs * F.col("of"))).otherwise(0.0)
     out = out.where((F.col("groups") <= share_groups * F.col("all_groups")) & (F.col("docs") >= floor))
     weight = F.round(F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("total")), 9)

@@ -40,12 +40,24 @@ def merge_close_centroids(centroids: np.ndarray, sizes: np.ndarray, cosine: floa
     return np.array(c), relabel
 
 
-def stability(rows: DataFrame, k: int, rounds: int, share: float = 0.8, max_iter: int = 10) -> DataFrame:
+def search_merge(found: DataFrame, centroids: np.ndarray, truth: str, thresholds: list[float]) -> DataFrame:
+    """found (cluster, truth) under fitted centroids to (threshold, merged, purity, ari): the scores of merging at each
+    cosine of a grid. The driver holds k x k similarities; rows are summed by cluster and truth before they meet the grid."""
+    sizes = np.zeros(len(centroids))
+    for r in found.groupBy("cluster").count().collect():  # k rows
+        sizes[r["cluster"]] = r["count"]
+    maps = [(float(t), i, int(x)) for t in thresholds for i, x in enumerate(merge_close_centroids(centroids, sizes, t)[1])]
+    grid = found.sparkSession.createDataFrame(maps, "threshold double, cluster int, merged int")
+    scores = V.contingency_scores(found.join(grid, "cluster"), truth, "merged", "threshold")
+    return scores.select("threshold", F.col("clusters").alias("merged"), "purity", "ari")
+
+
+def stability(rows: DataFrame, k: int, rounds: int = 5, share: float = 0.8, n_init: int = 10) -> DataFrame:
     """ARI between models fitted on pairs of hashed samples, over the rows both hold; one row per round."""
     out = None
     for r in range(rounds):
         part = [rows.where(F.pmod(F.xxhash64("id", F.lit(2 * r + s)), F.lit(1000)) < int(1000 * share)) for s in (0, 1)]
-        models = [V.kmeans_fit(p, V.kmeanspp_init(p, k, seed=2 * r + s), max_iter=max_iter)[0] for s, p in enumerate(part)]
+        models = [V.kmeans_best(p, [k], 2 * r + s, n_init)[k][0] for s, p in enumerate(part)]
         a = V.assign_nearest(part[0].select("id", "v"), models[0]).select("id", F.col("cluster").alias("a"))
         b = V.assign_nearest(part[1].select("id", "v"), models[1]).select("id", F.col("cluster").alias("b"))
         one = V.contingency_scores(a.join(b, "id"), "a", "b").select(F.lit(r).alias("round"), "ari")
@@ -53,12 +65,15 @@ def stability(rows: DataFrame, k: int, rounds: int, share: float = 0.8, max_iter
     return out
 
 
-def fit_per_stratum(rows: DataFrame, stratum: str, k: int, max_iter: int = 10) -> DataFrame:
-    """A model per stratum (few strata), cluster ids offset so that they do not collide."""
+def fit_per_stratum(rows: DataFrame, stratum: str, k: int, n_init: int = 10, unseen: DataFrame | None = None) -> DataFrame:
+    """A model per stratum (few strata), cluster ids offset so that they do not collide. Rows of `unseen` may not name a stratum
+    that rows lacks: there is no model to assign them with, and ValueError names the strata."""
+    if unseen is not None and (lacking := unseen.select(stratum).distinct().join(rows.select(stratum).distinct(), stratum, "left_anti").limit(20).collect()):
+        raise ValueError(f"no model for {stratum}: {sorted(str(r[0]) for r in lacking)}")
     out = None
     for i, r in enumerate(rows.select(stratum).distinct().orderBy(stratum).toLocalIterator()):
         part = rows.where(F.col(stratum).eqNullSafe(r[0]))
-        c, _, _ = V.kmeans_fit(part, V.kmeanspp_init(part, k, seed=i), max_iter=max_iter)
+        c, _, _ = V.kmeans_best(part, [k], i, n_init)[k]
         one = V.assign_nearest(part, c).withColumn("cluster", F.col("cluster") + i * k)
         out = one if out is None else out.unionByName(one)
     return out
@@ -115,6 +130,27 @@ def year_targeted(questions: DataFrame, docs: DataFrame, year: Column, name_year
     return q.join(d, "year").select("qid", "year", "doc_id")
 
 
+def outcomes(docs: DataFrame, found: DataFrame, threshold: DataFrame) -> DataFrame:
+    """docs (id, topic of before) with cluster, margin and outcome: skipped without a vector (not in found), unclear under the
+    margin threshold (one row), else assigned."""
+    out = docs.join(found.select("id", F.col("cluster").alias("_c"), "margin"), "id", "left").join(F.broadcast(threshold))
+    ok = F.col("margin") >= F.col("threshold") - 1e-9
+    kind = F.when(F.col("margin").isNull(), "skipped").when(ok, "assigned").otherwise("unclear")
+    return out.withColumn("outcome", kind).withColumn("cluster", F.when(ok, F.col("_c"))).drop("_c", "threshold")
+
+
+def reassign_counts(rows: DataFrame) -> DataFrame:
+    """One row over outcomes(): documents by outcome, and assigned ones whose topic of before is another (stale)."""
+    of = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    stale = F.count_if((F.col("outcome") == "assigned") & F.coalesce(F.col("topic") != F.col("cluster"), F.lit(True)))
+    return rows.agg(F.count("*").alias("documents"), of("assigned"), of("skipped"), of("unclear"), stale.alias("stale"))
+
+
+def before_after(rows: DataFrame) -> DataFrame:
+    """outcomes() by topic of before and after: how many documents moved so, and their mean margin."""
+    return rows.where("outcome <> 'skipped'").groupBy(F.col("topic").alias("before"), F.col("cluster").alias("after")).agg(F.count("*").alias("n"), F.avg("margin").alias("margin"))
+
+
 def model_digest(centroids: DataFrame) -> DataFrame:
     """One row: sha256 over the rows (cluster, v) of a model in order; a model is a few rows."""
     line = F.concat_ws("|", F.col("cluster").cast("string"), F.array_join(F.transform("v", lambda x: F.round(x, 6).cast("string")), ","))

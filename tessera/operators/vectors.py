@@ -53,10 +53,10 @@ def mean_pool(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def center_by_group(rows: DataFrame, group: str) -> DataFrame:
-    """Less the mean of its group (few groups: broadcast), else the mean of all; unit length after."""
+    """Less the mean of its group, else the mean of all; unit length after."""
     own = means(rows, group).select(group, F.col("mean").alias("_m"))
     every = means(rows).select(F.col("mean").alias("_g"))
-    out = rows.join(F.broadcast(own), group, "left").join(F.broadcast(every))
+    out = rows.join(own, group, "left").join(F.broadcast(every))
     moved = F.zip_with("v", F.coalesce("_m", "_g"), lambda x, m: x - m)
     return out.withColumn("v", l2_normalize(moved)).drop("_m", "_g")
 
@@ -96,46 +96,67 @@ def assign_nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return _blocks(rows, per_block, [("cluster", T.IntegerType()), ("cost", T.DoubleType()), ("margin", T.DoubleType())])
 
 
-def _sums(rows: DataFrame, centroids: np.ndarray) -> list:
-    """Per cluster: sum, size and cost, summed inside each partition first."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+def _sums(rows: DataFrame, models: list[np.ndarray]) -> list[list]:
+    """Of each model, per cluster: (sum, size, cost). One pass over rows for all models, summed inside each partition first."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        k, d = shared.value.shape
-        total, size, cost = np.zeros((k, d)), np.zeros(k, np.int64), np.zeros(k)
+        models = shared.value
+        total = [np.zeros((len(c), c.shape[1] + 2)) for c in models]  # sum, size, cost
         for batch in batches:
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             for a in range(0, len(v), BLOCK):
                 x = v[a : a + BLOCK]
-                dist = squared_distances(x, shared.value)
-                best = dist.argmin(1)
-                np.add.at(total, best, x)
-                size += np.bincount(best, minlength=k)
-                cost += np.bincount(best, weights=dist[np.arange(len(x)), best], minlength=k)
-        yield pa.RecordBatch.from_pydict({"cluster": pa.array(range(k), pa.int32()), "total": pa.array(total.tolist(), pa.list_(pa.float64())), "size": pa.array(size), "cost": pa.array(cost)})
-
-    part = rows.select("v").mapInArrow(run, "cluster int, total array<double>, size long, cost double")
-    flat = part.select("cluster", "size", "cost", F.posexplode("total").alias("p", "x")).groupBy("cluster", "p").agg(F.sum("x").alias("x"), F.sum("size").alias("size"), F.sum("cost").alias("cost"))
-    return flat.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("t"), F.max("size").alias("size"), F.max("cost").alias("cost")).collect()
+                for t, c in zip(total, models, strict=True):
+                    dist = squared_distances(x, c)
+                    best = dist.argmin(1)
+                    t += (best == np.arange(len(c))[:, None]) @ np.column_stack([x, np.ones(len(x)), dist.min(1)])
+        flat = [(m, i, row.tolist()) for m, t in enumerate(total) for i, row in enumerate(t) if row[-2]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True) if flat else ([], [], []), (pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True)], ["model", "cluster", "total"])
+
+    part = rows.select("v").mapInArrow(run, "model int, cluster int, total array<double>")
+    flat = part.select("model", "cluster", F.posexplode("total").alias("p", "x")).groupBy("model", "cluster", "p").agg(F.sum("x").alias("x"))
+    out: list[list] = [[] for _ in models]
+    for r in flat.groupBy("model", "cluster").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("t")).collect():  # models x k rows
+        t = np.array([x["x"] for x in r["t"]])
+        out[r["model"]].append((r["cluster"], t[:-2], t[-2], t[-1]))
+    return out
+
+
+def lloyd(rows: DataFrame, starts: list[np.ndarray], tol: float = 1e-4, max_iter: int = 300) -> list[tuple[np.ndarray, float, int]]:
+    """(centroids, inertia, steps) from each start, k may differ. A driver loop over k x d sums; all starts that still move
+    share each pass over rows; empty clusters move to the costliest rows."""
+    models, steps = [np.array(c, np.float64) for c in starts], [0] * len(starts)
+    moving = list(range(len(models)))
+    for _ in range(max_iter):
+        still = []
+        for i, sums in zip(moving, _sums(rows, [models[i] for i in moving]), strict=True):
+            c, new = models[i], models[i].copy()
+            for j, total, size, _cost in sums:
+                new[j] = total / size
+            empty = sorted(set(range(len(c))) - {j for j, *_ in sums})
+            if empty:
+                new[empty] = revive(rows, c, len(empty))
+            models[i], steps[i] = new, steps[i] + 1
+            if np.sqrt(((new - c) ** 2).sum(1)).max() > tol:
+                still.append(i)
+        moving = still
+        if not moving:
+            break
+    return [(c, float(sum(s[3] for s in sums)), n) for c, sums, n in zip(models, _sums(rows, models), steps, strict=True)]
 
 
 def kmeans_fit(rows: DataFrame, initial: np.ndarray, tol: float = 1e-4, max_iter: int = 300) -> tuple[np.ndarray, float, int]:
-    """Lloyd steps from given centroids to (centroids, inertia, steps). A driver loop over k x d sums; empty clusters move to the costliest rows."""
-    c = np.array(initial, np.float64)
-    for step in range(1, max_iter + 1):
-        new, cost, empty = c.copy(), 0.0, list(range(len(c)))
-        for r in _sums(rows, c):
-            cost += r["cost"]
-            if r["size"]:
-                new[r["cluster"]] = np.array([x["x"] for x in r["t"]]) / r["size"]
-                empty.remove(r["cluster"])
-        if empty:
-            new[empty] = revive(rows, c, len(empty))
-        shift = np.sqrt(((new - c) ** 2).sum(1)).max()
-        c = new
-        if shift <= tol:
-            break
-    return c, float(sum(r["cost"] for r in _sums(rows, c))), step
+    """Lloyd steps from given centroids to (centroids, inertia, steps)."""
+    return lloyd(rows, [initial], tol, max_iter)[0]
+
+
+def kmeans_best(rows: DataFrame, ks: list[int], seed: int, n_init: int = 10) -> dict[int, tuple[np.ndarray, float, int]]:
+    """For each k the fit of least inertia from n_init k-means++ starts (the earliest on ties). The start for k is the head of that
+    for the largest k, so all fits together take as many passes as the slowest one."""
+    starts = kmeanspp_starts(rows, max(ks), [seed * n_init + i for i in range(n_init)])
+    fits = lloyd(rows, [s[:k] for k in ks for s in starts])
+    return {k: min(fits[i * len(starts) : (i + 1) * len(starts)], key=lambda f: f[1]) for i, k in enumerate(ks)}
 
 
 def revive(rows: DataFrame, centroids: np.ndarray, n: int) -> np.ndarray:
@@ -144,17 +165,42 @@ def revive(rows: DataFrame, centroids: np.ndarray, n: int) -> np.ndarray:
     return np.array([r["v"] for r in worst])
 
 
+def kmeanspp_starts(rows: DataFrame, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """k centroids for each seed (fewer where there are fewer rows that differ), drawn in turn with chance in proportion to the
+    squared distance to the nearest so far: the row with the least -log(u) / weight, u from a hash of id and seed. One pass a draw,
+    in which each task names its own least row for each seed."""
+    u = lambda seed, s: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
+    starts: list[np.ndarray] = [np.zeros((0, 0))] * len(seeds)
+    for s in range(k):
+        shared = rows.sparkSession.sparkContext.broadcast(starts)
+
+        def run(batches, shared=shared):
+            least: dict[int, tuple] = {}
+            for batch in batches:
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                draws = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                ids = batch.column("id").to_numpy()
+                for i, c in enumerate(shared.value):
+                    key = draws[:, i]
+                    if len(c):
+                        cost = squared_distances(v, c).min(1)
+                        cost[cost < 1e-12] = 0
+                        with np.errstate(divide="ignore"):
+                            key = np.where(cost > 0, -np.log(key) / cost, np.inf)
+                    at = np.lexsort((ids, key))[0]
+                    if np.isfinite(key[at]):
+                        least[i] = min(least.get(i, (np.inf, 0, None)), (float(key[at]), int(ids[at]), v[at].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), *(pa.array([x[j] for x in least.values()], t) for j, t in enumerate((pa.float64(), pa.int64(), pa.list_(pa.float64()))))], ["start", "key", "id", "v"])
+
+        drawn = rows.select("id", "v", F.array(*[u(seed, s) for seed in seeds]).alias("u")).mapInArrow(run, "start int, key double, id long, v array<double>")
+        for r in drawn.groupBy("start").agg(F.min(F.struct("key", "id", "v")).alias("m")).collect():  # a row for each seed
+            new = np.array([r["m"]["v"]], np.float64)
+            starts[r["start"]] = np.vstack([starts[r["start"]], new]) if len(starts[r["start"]]) else new
+    return starts
+
+
 def kmeanspp_init(rows: DataFrame, k: int, seed: int) -> np.ndarray:
-    """Centroids drawn in turn with chance in proportion to the squared distance to the nearest so far: the row with
-    the least -log(u) / weight, u from a hash of id and seed."""
-    u = lambda s: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
-    first = rows.orderBy(u(0), "id").select("v").first()
-    c = np.array([first["v"]], np.float64)
-    for s in range(1, k):
-        key = F.when(F.col("cost") > 0, -F.log(u(s)) / F.col("cost")).otherwise(F.lit(float("inf")))
-        r = assign_nearest(rows, c).orderBy(key, u(s), "id").select("v").first()
-        c = np.vstack([c, r["v"]])
-    return c
+    return kmeanspp_starts(rows, k, [seed])[0]
 
 
 def pca_fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +293,7 @@ def silhouette_samples(rows: DataFrame, block: int = 2048) -> DataFrame:
             held = []
     if held:
         sums = against(held) if sums is None else sums.unionByName(against(held))
-    per = sums.groupBy("id", "other").agg(F.sum("total").alias("total")).join(F.broadcast(sizes.withColumnRenamed("label", "other")), "other")
+    per = sums.groupBy("id", "other").agg(F.sum("total").alias("total")).join(sizes.withColumnRenamed("label", "other"), "other")
     per = per.join(rows.select("id", "label"), "id")
     own = F.max(F.when(F.col("other") == F.col("label"), F.when(F.col("size") > 1, F.col("total") / (F.col("size") - 1)))).alias("a")
     out = per.groupBy("id", "label").agg(own, F.min(F.when(F.col("other") != F.col("label"), F.col("total") / F.col("size"))).alias("b"))
@@ -255,6 +301,15 @@ def silhouette_samples(rows: DataFrame, block: int = 2048) -> DataFrame:
     return out.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("s"))
 
 
+def internal_scores(rows: DataFrame, sample: int = 2000) -> DataFrame:
+    """One row (n, clusters, inertia, silhouette) of assigned rows (id, v, cluster, cost); the silhouette, over a stratified
+    sample, is NaN for fewer than two clusters."""
+    drawn = stratified_sample(rows.select("id", "v", F.col("cluster").alias("label")), "label", sample)
+    s = silhouette_samples(drawn).agg(F.avg("s").alias("silhouette"))
+    out = rows.agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"), F.sum("cost").alias("inertia")).join(s)
+    return out.withColumn("silhouette", F.when(F.col("clusters") < 2, float("nan")).otherwise(F.col("silhouette")))
+
+
 def contingency_scores(pairs: DataFrame, true: str, found: str, *by: str) -> DataFrame:
     """Purity and adjusted Rand index of two labellings, per group; degenerate cases are 1."""
     n = pairs.groupBy(*by, true, found).agg(F.count("*").cast("double").alias("n"))
@@ -274,7 +329,7 @@ def stratified_sample(rows: DataFrame, by: str, n: int) -> DataFrame:
     sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
     take = sizes.select(by, F.greatest(F.lit(2), F.round(n * F.col("size") / F.sum("size").over(Window.partitionBy()))).alias("take"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.col("id").cast("string")), "id"))
-    return rows.join(F.broadcast(take), by).withColumn("place", place).where("place <= take").drop("place", "take")
+    return rows.join(take, by).withColumn("place", place).where("place <= take").drop("place", "take")
 
 
 def dominant_topics(rows: DataFrame, cluster: str, topic: str, k: int) -> DataFrame:

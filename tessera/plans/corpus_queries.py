@@ -123,6 +123,17 @@ def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("languages"), F.round(F.avg(F.col("quality").isNotNull().cast("double")), 6).alias("labelled"))
 
 
+@reg.add(r"""WITH d AS (SELECT doc_id, source, lang, length(trim(text)) < 200 AS short, md5(left(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 400)) AS p FROM documents),
+f AS (SELECT p, min(doc_id) AS first FROM d WHERE NOT short GROUP BY p), s AS (SELECT d.*, CASE WHEN short THEN 'short' WHEN doc_id <> first THEN 'duplicate' ELSE 'kept' END AS state FROM d LEFT JOIN f USING (p))
+SELECT 'outcome' AS field, state AS value, count(*) AS n FROM s GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM s WHERE state = 'kept' GROUP BY 2 UNION ALL SELECT 'lang', lang, count(*) FROM s WHERE state = 'kept' GROUP BY 2
+UNION ALL SELECT 'unknown section', source, count(*) FROM s WHERE state = 'kept' AND source NOT IN (SELECT source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY 2""")
+def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build over documents; sections with a document that is labelled toxic stand for the known ones."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    known = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("source")
+    return J.build_report(d, "doc_id", "text", ["source", "lang"], known, "source")
+
+
 @reg.add("""WITH n AS (SELECT source AS topic, lang AS language, min(source || lang) AS nm, count(DISTINCT n_chars % 2) AS k FROM documents GROUP BY ALL) SELECT topic, language, k AS names FROM n WHERE k > 1""")
 def localized_topic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of topic and language with more than one name."""

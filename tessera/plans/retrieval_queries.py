@@ -64,6 +64,22 @@ def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir, 10).select("qid", "id", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@reg.add(f"WITH {_KNN} SELECT qid, doc_id, round(distance, 4) AS distance FROM knn JOIN documents ON doc_id = id WHERE rank <= 10 AND trim(text) <> '' AND id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def collect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest documents, their distances as text as a vector store returns them, among those labelled good."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _vector(spark, sf_dir, 10).select("qid", F.col("id").alias("doc_id"), F.col("distance").cast("string").alias("distance"))
+    kept = R.collect_candidates(found.join(texts, "doc_id"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return kept.select("qid", "doc_id", F.round("distance", 4).alias("distance"))
+
+
+@reg.add(f"WITH {_KNN} SELECT qid, id AS doc_id, rank FROM knn WHERE rank <= 10 AND id IN (SELECT page_id FROM pages)")
+def drop_orphan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours whose page is still there."""
+    found = _vector(spark, sf_dir, 10).select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+    return R.drop_orphans(found, table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")))
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical = _lexical(spark, sf_dir, 20).select("qid", F.col("chunk_id").alias("key"), F.lit("lexical").alias("method"), "rank")
     return _vector(spark, sf_dir, 20).select("qid", F.col("id").alias("key"), F.lit("vector").alias("method"), "rank").unionByName(lexical)

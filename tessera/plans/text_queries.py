@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,22 +92,12 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.array_join(T.char_ngrams(F.col("word")), " ").alias("grams"))
 
 
-def stems(words: DataFrame) -> DataFrame:
-    """(word) to (word, stem): per-word Python over the distinct words only."""
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"word": b["word"], "stem": b["word"].map(T.stem_word)})
-
-    return words.select("word").distinct().mapInPandas(run, "word string, stem string")
-
-
 def tokenized(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, term, tf): stems, and the 3-grams of stems of four letters or more; parts of hyphenated words without grams."""
     raw = docs.select("doc_id", F.explode(T.raw_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     parts = raw.where(F.col("word").contains("-")).select("doc_id", F.explode(F.split("word", "-")).alias("word"), "n").withColumn("part", F.lit(True))
     both = raw.withColumn("part", F.lit(False)).unionByName(parts).where(~F.col("word").isin(*T.STOP_WORDS))
-    known = both.join(stems(both), "word").where((F.length("stem") >= 2) | F.col("stem").rlike(r"^\d+$"))
+    known = both.withColumn("stem", T.stem(F.col("word"))).where((F.length("stem") >= 2) | F.col("stem").rlike(r"^\d+$"))
     grams = F.when(~F.col("part") & (F.length("stem") >= 4), F.concat(F.array("stem"), T.char_ngrams(F.col("stem")))).otherwise(F.array("stem"))
     return known.select("doc_id", F.explode(grams).alias("term"), "n").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
 

@@ -11,7 +11,7 @@ from tessera.operators import topics as P
 from tessera.operators import vectors as V
 from tessera.plans.corpus_queries import _terms
 from tessera.plans.registry import Registry, table
-from tessera.plans.vector_queries import _A, _N, K, _seeds, _unit
+from tessera.plans.vector_queries import _A, _N, K, _seeds, _unit, stored
 
 reg = Registry()
 
@@ -34,26 +34,66 @@ def k_by_quality_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add()
 def merge_close_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _unit(spark, sf_dir)
-    seeds = _seeds(rows)
-    found = V.assign_nearest(rows, seeds)
+    """A fitted model whose close centroids are merged: rows by cluster."""
+    rows = stored(spark, sf_dir)
+    centroids = V.kmeans_best(rows, [K], seed=1)[K][0]
+    found = V.assign_nearest(rows, centroids)
     sizes = np.zeros(K)
     for r in found.groupBy("cluster").count().collect():  # K rows
         sizes[r["cluster"]] = r["count"]
-    _, relabel = P.merge_close_centroids(seeds, sizes, 0.5)
+    _, relabel = P.merge_close_centroids(centroids, sizes, 0.5)
     mapping = spark.createDataFrame([(i, int(x)) for i, x in enumerate(relabel)], "cluster int, merged int")
     return found.join(F.broadcast(mapping), "cluster").groupBy("merged").agg(F.count("*").alias("n"))
 
 
+@reg.add()
+def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of merging a fitted model of twice as many clusters over a grid of cosines."""
+    rows = stored(spark, sf_dir)
+    centroids = V.kmeans_best(rows, [2 * K], seed=1)[2 * K][0]
+    found = V.assign_nearest(rows, centroids).select("cluster", "label")
+    return P.search_merge(found, centroids, "label", [0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
+
+
 @reg.add()
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.stability(_unit(spark, sf_dir), 4, 2, max_iter=5)
+    return P.stability(stored(spark, sf_dir), 4)
 
 
 @reg.add()
 def strata_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _unit(spark, sf_dir).withColumn("stratum", F.col("id") % 2)
-    return P.fit_per_stratum(rows, "stratum", 4, max_iter=5).select("id", "stratum", "cluster")
+    rows = stored(spark, sf_dir).withColumn("stratum", F.col("id") % 2)
+    return P.fit_per_stratum(rows, "stratum", 4).select("id", "stratum", "cluster")
+
+
+_OUT = f"{_A}, t AS (SELECT quantile_cont(margin, 0.1) - 1e-9 AS t FROM a), o AS (SELECT d.doc_id AS id, e.label AS topic, a.cluster AS c, margin, CASE WHEN a.id IS NULL THEN 'skipped' WHEN margin >= t THEN 'assigned' ELSE 'unclear' END AS outcome FROM documents d LEFT JOIN a ON a.id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id, t)"
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, its label standing for the topic of before."""
+    found = _assigned(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(found.select("id", F.col("label").alias("topic")), "id", "left")
+    return P.outcomes(docs, found, V.margin_threshold(found))
+
+
+@reg.add(f"WITH {_OUT} SELECT count(*) AS documents, count(*) FILTER (outcome = 'assigned') AS assigned, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'unclear') AS unclear, count(*) FILTER (outcome = 'assigned' AND topic <> c) AS stale FROM o")
+def reassign_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.reassign_counts(_outcomes(spark, sf_dir))
+
+
+@reg.add(f"WITH {_OUT} SELECT topic AS before, CASE WHEN outcome = 'assigned' THEN c END AS after, count(*) AS n, round(avg(margin), 3) AS margin FROM o WHERE outcome <> 'skipped' GROUP BY 1, 2")
+def topic_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.before_after(_outcomes(spark, sf_dir)).withColumn("margin", F.round("margin", 3))
+
+
+@reg.add(f"""WITH {_A}, h AS (SELECT a.id, cluster AS label, cost, v FROM a JOIN u USING (id) WHERE a.id % 5 = 0), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) AS p FROM h) JOIN (SELECT label, greatest(2, round(2000 * count(*) / sum(count(*)) OVER ())) AS take FROM h GROUP BY label) USING (label) WHERE p <= take),
+z AS (SELECT label, count(*) AS size FROM s GROUP BY label), p AS (SELECT x.id, x.label, y.label AS other, sum(sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda q: (q[1] - q[2]) ** 2)))) AS t FROM s x, s y GROUP BY ALL),
+m AS (SELECT p.id, max(CASE WHEN other = p.label AND size > 1 THEN t / (size - 1) END) AS a, min(CASE WHEN other <> p.label THEN t / size END) AS b FROM p JOIN z ON z.label = other GROUP BY p.id)
+SELECT (SELECT count(*) FROM h) AS n, (SELECT count(DISTINCT label) FROM h) AS clusters, (SELECT round(sum(cost), 3) FROM h) AS inertia, round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM m""")
+def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal scores of the held-out fifth under a model of all rows."""
+    held = _assigned(spark, sf_dir).where("id % 5 = 0")
+    return V.internal_scores(held).select("n", "clusters", F.round("inertia", 3).alias("inertia"), F.round("silhouette", 4).alias("silhouette"))
 
 
 _EXT = "x AS (SELECT k AS label, v, cluster, count(*) AS n FROM (SELECT 'label' AS k, CAST(label AS VARCHAR) AS v, cluster FROM a UNION ALL SELECT 'parity', CAST(id % 2 AS VARCHAR), cluster FROM a) GROUP BY ALL), c AS (SELECT label, cluster, sum(n) AS c, max(n) AS m FROM x GROUP BY ALL)"

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
+from tessera.operators.topics import best_k
 from tessera.plans.registry import Registry, table
+from tessera.sources.tables import saved
 
 reg = Registry()
 K = 8
@@ -22,6 +24,11 @@ def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).withColumn("v", V.l2_normalize(F.col("v")))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors in the shared folder, for fits that read them again and again."""
+    return saved(_unit(spark, sf_dir), "unit-vectors")
+
+
 def _seeds(rows: DataFrame) -> np.ndarray:
     """The K rows of smallest id: a fixed start."""
     return np.array([r["v"] for r in rows.orderBy("id").limit(K).collect()])
@@ -87,21 +94,26 @@ def inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add()
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-means from a seeded start, with cluster of every row."""
-    rows = _unit(spark, sf_dir)
-    centroids, _, _ = V.kmeans_fit(rows, V.kmeanspp_init(rows, K, seed=1), max_iter=25)
+    """k-means, the best of ten seeded starts, with cluster of every row."""
+    rows = stored(spark, sf_dir)
+    centroids, _, _ = V.kmeans_best(rows, [K], seed=1)[K]
     return V.assign_nearest(rows, centroids).select("id", "cluster", "cost", "margin")
 
 
 @reg.add()
 def k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k against inertia, the elbow (farthest from the chord on rescaled axes) marked."""
-    rows = _unit(spark, sf_dir)
-    table_ = []
-    for k in (2, 4, 8, 12):
-        _, cost, steps = V.kmeans_fit(rows, V.kmeanspp_init(rows, k, seed=1), max_iter=10)
-        table_.append((k, cost, steps))
-    return elbow(spark.createDataFrame(table_, "k int, inertia double, n_iter int"))
+    """k against inertia and silhouette, with the best k by silhouette and the elbow (farthest from the chord on rescaled axes) marked."""
+    return k_grid(stored(spark, sf_dir), [*range(2, 13)], seed=1)
+
+
+def k_grid(rows: DataFrame, ks: list[int], seed: int, n_init: int = 10) -> DataFrame:
+    """(k, inertia, silhouette, n_iter, best, elbow), all k and starts fitted together; best is the smallest k of highest silhouette."""
+    made = []
+    for k, (centroids, cost, steps) in V.kmeans_best(rows, ks, seed, n_init).items():
+        s = V.internal_scores(V.assign_nearest(rows, centroids).select("id", "v", "cluster", "cost")).first()["silhouette"]
+        made.append((k, cost, s, steps))
+    grid = elbow(rows.sparkSession.createDataFrame(made, "k int, inertia double, silhouette double, n_iter int"))
+    return grid.join(F.broadcast(best_k(grid).select("k", F.lit(True).alias("best"))), "k", "left").withColumn("best", F.coalesce("best", F.lit(False)))
 
 
 def elbow(grid: DataFrame) -> DataFrame:

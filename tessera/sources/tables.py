@@ -40,14 +40,20 @@ def read_corpus_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return rows.where("why IS NULL").drop("why", "_broken"), rows.where("why IS NOT NULL").select("file", "id", "_broken", "why")
 
 
+def read_raw_records(spark: SparkSession, folder: str, schema: str = CORPUS) -> DataFrame:
+    """All *.jsonl of a folder as rows of schema, with file and place: rows order by (file, place), so that first-wins
+    steps give the same result at every run. Lines that are no JSON have nulls; blank lines are skipped; place has gaps."""
+    lines = spark.read.text(f"{folder}/*.jsonl").select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "file", "place").select("r.*", "file", "place")
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 (byte order mark allowed); else windows-1251 when most non-ASCII bytes are outside valid UTF-8 and no binary
-    control character results; else null. Bytes of cp1251 letters are mapped by value: À.. is А.. shifted."""
+    control character results; else null. The upper half of the code page is mapped byte by byte; 0x98 is not in it and becomes U+FFFD."""
     utf = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
     latin = F.decode(content, "ISO-8859-1")
-    upper = "".join(chr(c) for c in range(0xC0, 0x100)) + "¨¸"
-    cyrillic = "".join(chr(c) for c in range(0x410, 0x450)) + "Ёё"
-    as_1251 = F.translate(latin, upper, cyrillic)
+    upper = bytes(range(0x80, 0x100))
+    as_1251 = F.translate(latin, upper.decode("latin-1"), upper.decode("cp1251", "replace"))
     odd = latin.rlike(r"[\x00-\x08\x0e-\x1f]")
     high = F.length(F.regexp_replace(latin, r"[\x00-\x7f]", ""))
     good = F.length(F.regexp_replace(latin, r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\x00-\x7f]", ""))

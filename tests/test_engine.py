@@ -10,9 +10,10 @@ from tessera.operators import chunking as C
 from tessera.operators import corpus as J
 from tessera.operators import relational as R
 from tessera.operators import retrieval as D
+from tessera.operators import topics as P
 from tessera.operators import vectors as V
 from tessera.plans.text_queries import tokenized
-from tessera.plans.vector_queries import elbow
+from tessera.plans.vector_queries import elbow, k_grid
 from tessera.sources import tables as S
 from tessera.streaming import jobs as K
 
@@ -62,8 +63,8 @@ def test_article_ref_in_text(spark, ref, text, want):
 
 
 @pytest.mark.parametrize(("word", "stem"), [("андозҳоро", "андоз"), ("андозҳо", "андоз"), ("моддаҳо", "модд"), ("модда", "модд"), ("закона", "закон"), ("закон", "закон"), ("шахсон", "шахс"), ("он", "он")])
-def test_stem(word, stem):
-    assert T.stem_word(word) == stem
+def test_stem(spark, word, stem):
+    assert one(spark, word, T.stem) == stem
 
 
 def test_tokens_keep_repeats_and_grams(spark):
@@ -262,3 +263,87 @@ def test_overlap_audit_finds_short_passages(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "short one"), (2, "a passage of more than twenty four")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert topic_queries.overlap_audit(spark, f"file://{tmp_path}").first().overlapping == 2
+
+
+def test_starts_share_passes_and_the_best_wins(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([c + rng.normal(scale=0.2, size=(25, 2)) for c in ([0, 0], [6, 0], [0, 6])])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3).cache()
+    starts = V.kmeanspp_starts(rows, 3, [1, 2, 3, 4])
+    assert all(len(np.unique(s, axis=0)) == 3 for s in starts) and np.allclose(starts[1], V.kmeanspp_init(rows, 3, 2))
+
+    def plain(c):
+        while True:
+            near = ((v[:, None] - c) ** 2).sum(2).argmin(1)
+            new = np.array([v[near == j].mean(0) for j in range(len(c))])
+            if np.sqrt(((new - c) ** 2).sum(1)).max() <= 1e-4:
+                return new, ((v[:, None] - new) ** 2).sum(2).min(1).sum()
+            c = new
+
+    fits = V.lloyd(rows, [starts[0], starts[1], starts[2][:2]])
+    for (c, cost, _), s in zip(fits, (starts[0], starts[1], starts[2][:2]), strict=True):
+        want, inertia = plain(s)
+        assert np.allclose(c, want) and cost == pytest.approx(inertia)
+    best = V.kmeans_best(rows, [2, 3], seed=0, n_init=4)
+    assert best[3][1] < best[2][1] and len(best[2][0]) == 2
+    grid = {r.k: r for r in k_grid(rows, [2, 3, 4], seed=0, n_init=3).collect()}
+    assert [k for k, r in grid.items() if r.best] == [3] and [k for k, r in grid.items() if r.elbow] == [3]
+
+
+def test_strata_without_a_model_are_refused(spark):
+    rows = spark.createDataFrame([(i, [float(i % 4), float(i)], "a") for i in range(8)], "id long, v array<double>, g string")
+    other = spark.createDataFrame([(1, "a"), (2, "b")], "id long, g string")
+    with pytest.raises(ValueError, match="b"):
+        P.fit_per_stratum(rows, "g", 2, n_init=2, unseen=other)
+
+
+def test_merging_stops_at_the_threshold(spark):
+    centroids = np.array([[1.0, 0.0], [0.99, 0.1], [0.0, 1.0]])
+    found = spark.createDataFrame([(0, "x"), (0, "x"), (1, "x"), (2, "y")], "cluster int, label string")
+    out = {r.threshold: (r.merged, r.ari) for r in P.search_merge(found, centroids, "label", [0.9, 0.9999]).collect()}
+    assert out[0.9] == (2, 1.0) and out[0.9999][0] == 3
+
+
+def test_one_cluster_has_no_silhouette(spark):
+    rows = spark.createDataFrame([(1, [0.0], 0, 1.0), (2, [2.0], 0, 1.0)], "id long, v array<double>, cluster int, cost double")
+    r = V.internal_scores(rows).first()
+    assert (r.n, r.clusters, r.inertia) == (2, 1, 2.0) and np.isnan(r.silhouette)
+
+
+def test_outcomes_and_their_counts(spark):
+    docs = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 0)], "id long, topic int")
+    found = spark.createDataFrame([(1, 0, 0.5), (2, 0, 0.5), (3, 1, 0.01)], "id long, cluster int, margin double")
+    rows = P.outcomes(docs, found, spark.createDataFrame([(0.1,)], "threshold double"))
+    assert {r.id: (r.outcome, r.cluster) for r in rows.collect()} == {1: ("assigned", 0), 2: ("assigned", 0), 3: ("unclear", None), 4: ("skipped", None)}
+    assert tuple(P.reassign_counts(rows).first()) == (4, 2, 1, 1, 1)
+    assert {(r.before, r.after): r.n for r in P.before_after(rows).collect()} == {(0, 0): 1, (1, 0): 1, (None, None): 1}
+
+
+def test_candidates_of_allowed_documents(spark):
+    found = spark.createDataFrame([(1, 1, "a", "0.5"), (1, 2, " ", "0.1"), (1, 3, None, "0.1"), (1, 4, "b", "far")], "qid long, doc_id long, text string, distance string")
+    assert {(r.doc_id, r.distance) for r in D.collect_candidates(found, None).collect()} == {(1, 0.5), (4, None)}
+    some = spark.createDataFrame([(4,), (4,)], "doc_id long")
+    assert [r.doc_id for r in D.collect_candidates(found, some).collect()] == [4]
+    assert D.collect_candidates(found, some.where("doc_id < 0")).count() == 0
+    assert [r.doc_id for r in D.drop_orphans(found, some.distinct()).collect()] == [4]
+
+
+def test_build_report_counts_every_row_once(spark):
+    text = "word " * 50
+    rows = [(1, text, "s1"), (2, text.upper(), "s1"), (3, "short", "s1"), (4, None, None), (5, text + "other " * 100, "s2"), (6, "new " * 60, None)]
+    out = J.build_report(spark.createDataFrame(rows, "n long, text string, source string"), "n", "text", ["source"], spark.createDataFrame([("s1",)], "s string"), "source")
+    got = {(r.field, r.value): r.n for r in out.collect()}
+    assert got[("outcome", "short")] == 2 and got[("outcome", "duplicate")] == 1 and got[("outcome", "kept")] == 3
+    assert got[("source", "s1")] == 1 and got[("source", "")] == 1 and got[("unknown section", "s2")] == 1 and got[("unknown section", "")] == 1
+
+
+def test_code_page_marks(spark, tmp_path):
+    (tmp_path / "w.txt").write_bytes("№ 5 — «закон» Њ".encode("cp1251"))
+    assert S.ingest_text_files(spark, f"file://{tmp_path}")[0].first().text == "№ 5 — «закон» Њ"
+
+
+def test_raw_records_keep_their_order(spark, tmp_path):
+    for name, ids in (("b", (3, 4)), ("a", (1, 2))):
+        (tmp_path / f"{name}.jsonl").write_text("\n\n".join(f'{{"id": "{i}"}}' for i in ids))
+    rows = S.read_raw_records(spark, f"file://{tmp_path}", "id string").orderBy("file", "place").collect()
+    assert [r.id for r in rows] == ["1", "2", "3", "4"]
