@@ -44,7 +44,8 @@ HUB_ROUNDS = 3
 SKETCH = 8  # longs of the shortest sketch
 SEEN = 1_000_000  # sets a task remembers, so as to index equal sets once
 HELD = 500_000  # keys a task holds before it hands them on
-BUCKET = 500_000  # keys meant for one bucket
+BUCKET = 2_000_000  # keys meant for one bucket; in large buckets a set names itself once for more of its keys
+PART = 500_000  # keys of a bucket that are looked at together
 KEY_BYTES = 5  # of a key within its bucket; sets that meet by chance are told apart later
 KEYS = "kind int, bucket long, size int, keys binary, ids binary, runs binary"
 _TOP = 1 << 40
@@ -226,23 +227,30 @@ def met_sets(index: DataFrame) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
+        sizes = table.column("size").to_pylist()
+        parts = sum(sizes) // PART + 1
+        return pa.concat_tables([part(kind, bucket, table, sizes, p, parts) for p in range(parts)])
+
+    def part(kind: int, bucket: int, table: pa.Table, sizes: list[int], p: int, parts: int) -> pa.Table:
+        """Of the keys that are p modulo parts."""
         names, ids = [], []
-        for size, k, i, r in zip(table.column("size").to_pylist(), *(table.column(c) for c in ("keys", "ids", "runs")), strict=True):
+        for size, k, i, r in zip(sizes, *(table.column(c) for c in ("keys", "ids", "runs")), strict=True):
             own = unpacked(i.as_buffer(), len(i.as_buffer()) // 8, 8, np.int64)
-            if kind:
-                names.append(unpacked(k.as_buffer(), size, 8, np.uint64))
-            else:
-                names.append(unpacked(k.as_buffer(), size, KEY_BYTES, np.uint64))
+            name = unpacked(k.as_buffer(), size, 8 if kind else KEY_BYTES, np.uint64)
+            if not kind:
                 own = np.repeat(own, unpacked(r.as_buffer(), len(r.as_buffer()) // 4, 4, np.int32))
-            ids.append(own)
+            here = name % _U(parts) == _U(p)
+            names.append(name[here])
+            ids.append(own[here])
         name, of = np.concatenate(names), np.concatenate(ids)
         by = np.lexsort((of, name))
         name, of = name[by], of[by]
-        new = np.append(True, (name[1:] != name[:-1]) | (of[1:] != of[:-1]))
-        name, of = name[new], of[new]
+        new = (name[1:] != name[:-1]) | (of[1:] != of[:-1])
+        first = np.append(0, np.flatnonzero(new) + 1)[: len(name)]
+        name, of = name[first], of[first]
         if not kind:
-            met = np.append(False, name[1:] == name[:-1])
-            met[:-1] |= met[1:]
+            same = name[1:] == name[:-1]
+            met = np.append(False, same)[: len(name)] | np.append(same, False)[: len(name)]
             name, of = _name(name[met], np.array(bucket)), of[met]
         return pa.table({"key": pa.array(name.view(np.int64)), "set_id": pa.array(of)})
 

@@ -297,6 +297,15 @@ def test_jaccard_join_equals_all_pairs(docs, rows, n, num, den):
     assert got == plain_classes(rows, n, num, den)
 
 
+def test_buckets_looked_at_in_parts_find_the_same(spark, docs, monkeypatch):
+    like = jaccard_join.Likeness(3, 8, 10)
+    plans = {b: jaccard_join.plan_band(b, like, 100) for b in range(1, 16)}
+    index = jaccard_join.keys_table(docs, like, plans, 2)
+    whole = sorted(map(tuple, jaccard_join.met_sets(index).collect()))
+    monkeypatch.setattr(jaccard_join, "PART", 40)
+    assert whole and sorted(map(tuple, jaccard_join.met_sets(index).collect())) == whole
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.classes(empty(spark), jaccard_join.Likeness(3, 9, 10)).count() == 0
 
