@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, quality_rules, token_counts, token_ids, url_filter
+from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, periodic_runs, quality_rules, token_counts, token_ids, url_filter
 from tessera.llm.shared import broadcast_if_small, written
 
 LABEL_ROWS = 2_000_000  # largest table of labels that is broadcast
@@ -70,6 +70,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in which the words of a tenth of the texts, from one place on, repeat the first of them, so that runs are known."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    chosen = docs.withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("_w")
+    a = (g % n).cast("int")
+    chosen = chosen.withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, (1 + F.floor((n - a) / (3 + g % 8))).cast("int")))
+    word = lambda i: F.get("_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+    return chosen.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(_with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), digest(periodic_runs.listed(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256")
+    )
+
+
 _STOP = ", ".join("'" + w + "'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
 
 OP1_SQL = rf"""
@@ -117,6 +140,7 @@ QUERIES = {
         op8_token_counts,
         op9_ngram_jaccard,
         op10_url_filter,
+        op13_periodic_runs,
     )
 }
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}
