@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, periodic_runs, quality_rules, token_counts, token_ids, url_filter
+from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, periodic_runs, quality_rules, sharding, token_counts, token_ids, url_filter
 from tessera.llm.shared import broadcast_if_small, written
 
 LABEL_ROWS = 2_000_000  # largest table of labels that is broadcast
@@ -70,6 +70,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sharding.read_shards(spark, sharding.shard_files(docs), docs.schema)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", sharding.size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) in which the words of a tenth of the texts, from one place on, repeat the first of them, so that runs are known."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -140,6 +147,7 @@ QUERIES = {
         op8_token_counts,
         op9_ngram_jaccard,
         op10_url_filter,
+        op12_sharding,
         op13_periodic_runs,
     )
 }
