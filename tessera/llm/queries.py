@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, periodic_runs, quality_rules, sharding, token_counts, token_ids, url_filter
+from tessera.llm import chat_format, decontaminate, jaccard_join, line_dedup, nbsvm, packing, periodic_runs, phrases, quality_rules, sharding, token_counts, token_ids, url_filter
 from tessera.llm.shared import broadcast_if_small, written
 
 LABEL_ROWS = 2_000_000  # largest table of labels that is broadcast
@@ -70,6 +70,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sharding.read_shards(spark, sharding.shard_files(docs), docs.schema)
@@ -134,6 +138,24 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS com
 FROM d LEFT JOIN n ON n.r = d.r JOIN t ON t.r = d.r JOIN d o ON o.r = t.o GROUP BY d.r, d.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL HAVING m = 1 OR f >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, g, string_split(g, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT *, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.m, k.g, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.g = k.x JOIN f y ON y.lang = k.lang AND y.g = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, part, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE m = 3) GROUP BY ALL),
+z AS (SELECT b.*, b.g AS phrase FROM b LEFT JOIN i ON i.lang = b.lang AND i.part = b.g WHERE held IS NULL OR 100 * held < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM z JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -147,8 +169,9 @@ QUERIES = {
         op8_token_counts,
         op9_ngram_jaccard,
         op10_url_filter,
+        op11_collocations,
         op12_sharding,
         op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op9_ngram_jaccard": OP9_SQL}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_collocations": OP11_SQL}
