@@ -438,7 +438,7 @@ def test_decontamination_equals_all_windows(spark):
     got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.distance) for r in decontaminate.leaks(docs, bench).collect()}
     want = {(i, j): x for i, t in rows for j, b in [*enumerate(items), (None, items[2])] if (x := plain_leaks(t, b))}
     missed = set(want) - set(got)
-    assert not set(got) - set(want) and len(missed) <= 0.03 * len(want)
+    assert not set(got) - set(want) and len(missed) <= 0.01 * len(want)
     assert all(want[k][2] > 0 for k in missed)
     assert all(got[k][2] == want[k][2] for k in got if want[k][2] == 0)
     clean = decontaminate.keep_clean(docs, bench)
@@ -462,17 +462,30 @@ def test_edit_distance_equals_a_plain_table():
         assert decontaminate.distance(masks, len(a), b) == row[-1]
 
 
-@pytest.mark.parametrize("m", [6, 10, 15, 25, 60, 100])
-def test_decontamination_recall_at_the_largest_distance(m):
+def altered(rng, item, k, how):
+    """item with k edits: words replaced at the head, at the tail, in one place, evenly or at random; or words put in, taken out, or cut off the head."""
+    m, new = len(item), lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    out = item.copy()
+    if how in ("put in", "taken out", "cut off"):  # each shifts the rest, so the window loses or gains as many words at its end
+        k //= 2
+        if how == "put in":
+            return np.insert(out, np.sort(rng.integers(1, m, k)), new(k))
+        return np.delete(out, rng.permutation(m)[:k] if how == "taken out" else np.arange(k))
+    at = {"head": np.arange(k), "tail": np.arange(m - k, m), "one place": np.arange(k) + rng.integers(0, m - k + 1), "even": (np.arange(1, k + 1) * (m + 1)) // (k + 1) - 1, "random": rng.permutation(m)[:k]}[how]
+    out[at] = new(k)
+    return out
+
+
+@pytest.mark.parametrize("m", [5, 6, 8, 10, 15, 25, 40, 60, 100])
+@pytest.mark.parametrize("how", ["head", "tail", "one place", "even", "random", "put in", "taken out", "cut off"])
+def test_decontamination_recall_at_the_largest_distance(m, how):
     rng = np.random.default_rng(m)
-    found, trials = 0, 150
+    found, trials = 0, 60
     k = int(m * decontaminate.RATE + 1e-9)
-    items = decontaminate.Items.of([(0, " ".join(f"w{i}" for i in range(m)))], decontaminate.RATE)
-    item = items.items[0].words
-    for _ in range(trials):
-        window = item.copy()
-        window[rng.permutation(m)[:k]] = rng.integers(1, 1 << 62, k).astype(np.uint64)
-        h = np.concatenate([rng.integers(1, 1 << 62, 20).astype(np.uint64), window, rng.integers(1, 1 << 62, 20).astype(np.uint64)])
+    for trial in range(trials):
+        items = decontaminate.Items.of([(0, " ".join(f"w{i}-{trial}" for i in range(m)))], decontaminate.RATE)
+        lead = rng.integers(0, 30)
+        h = np.concatenate([rng.integers(1, 1 << 62, lead).astype(np.uint64), altered(rng, items.items[0].words, k, how), rng.integers(1, 1 << 62, 30).astype(np.uint64)])
         w = decontaminate.Words(np.arange(len(h)), np.arange(len(h)), h, np.array([0, len(h)]))
         found += bool(decontaminate.find(w, items))
     assert found >= 0.9 * trials
