@@ -8,8 +8,9 @@ Words are runs of characters other than 0x20 and 0x09-0x0D. Counts per text:
 - n_stop_words (words that, in lower case, are stop words as they stand).
 
 Defined results: null, empty and blank texts have zero counts and fail the base rule, so they are
-rejected; a ratio over zero words is 0. Repeated rows are judged one by one. Other columns pass
-through; one that carries a name of ours is replaced. Windows are compared by 64-bit hash.
+rejected; a ratio over zero words is 0. Repeated rows are judged one by one. A long text is judged whole, in memory that follows
+its length. An empty table gives no rows. Other columns pass through; one that has the name of a count, of base_failed or of kept (in
+any case) is replaced. Windows are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import unused
+
 WINDOW = 8
 
 #: Frequent function words of English, German, French and Spanish.
@@ -51,43 +54,43 @@ RULES = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
-def _repeated() -> Column:
-    """Start positions, ascending, of the windows in _t whose hash a neighbour in sorted order shares."""
-    near = lambda k, h: F.coalesce(F.get("_t", k)["h"] == h, F.lit(False))
-    twice = F.filter("_t", lambda x, k: near(k - 1, x["h"]) | near(k + 1, x["h"]))
+def _repeated(tagged: str) -> Column:
+    """Start positions, ascending, of the windows whose hash a neighbour in sorted order shares."""
+    near = lambda k, h: F.coalesce(F.get(tagged, k)["h"] == h, F.lit(False))
+    twice = F.filter(tagged, lambda x, k: near(k - 1, x["h"]) | near(k + 1, x["h"]))
     return F.array_sort(F.transform(twice, lambda x: x["i"]))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts as long columns. One pass, no shuffle, no Python."""
-    own = {"_w", "_l", "_h", "_h2", "_h4", "_h8", "_t", "_p"} | set(COUNTS)
-    keep = [c for c in docs.columns if c not in own]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in COUNTS]
+    words, lines, symbols, h, h2, h4, h8, tagged, places = unused(docs, "words", "lines", "symbols", "h", "h2", "h4", "h8", "tagged", "places")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     step = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "").alias("_w"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
-        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        *keep,
+        F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "").alias(words),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines),
+        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias(symbols),
     )
     pair = lambda c, d: F.transform(F.slice(c, 1, F.greatest(F.size(c) - d, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(c, i + d)))
-    step = step.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    for made, of, d in (("_h2", "_h", 1), ("_h4", "_h2", 2), ("_h8", "_h4", 4)):
+    step = step.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
+    for made, of, d in ((h2, h, 1), (h4, h2, 2), (h8, h4, 4)):
         step = step.withColumn(made, pair(F.col(of), d))
-    tagged = F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("_t", F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), tagged))  # most texts repeat nothing
-    step = step.withColumn("_p", _repeated())
-    gaps = F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW))))
+    places_of = F.array_sort(F.transform(h8, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn(tagged, F.when(F.size(F.array_distinct(h8)) < F.size(h8), places_of))  # most texts repeat nothing
+    step = step.withColumn(places, _repeated(tagged))
+    gaps = F.transform(places, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(places, i + 1) - p, F.lit(WINDOW))))
     counts = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.col("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.col(symbols).alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
     )
     # a one-row generator: filters on the counts stay above it, where the counts are computed once
-    return step.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(counts)))
+    return step.select(*keep, F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
