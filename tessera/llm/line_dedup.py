@@ -45,9 +45,8 @@ _U = np.uint64
 LIKE = Likeness(1, 8, 10)
 ORDERED = 500_000
 COUNTED = 1_500_000  # word hashes a task holds before it sums them
-WORD_BITS = 10
-WORD_BUCKETS = 1 << WORD_BITS  # parts of the vocabulary, each summed by one task
-PAIRS = 400_000  # pairs a bucket looks at together
+WORD_BITS, MOST_WORD_BITS = 10, 22
+WORD_BYTES = 64 << 20  # texts whose words one part of the vocabulary sums
 CHUNK = 1 << 19  # lines sorted together
 LONG = 128  # tokens beyond which a line has a sketch of 256 bits beside that of 128, which is the sum of its halves
 MOST = (1 << 20) - 1  # sizes from this on are ordered alike
@@ -71,6 +70,7 @@ class Limits:
     few: int = 2  # those it names where the nearest is all but sure
     large: int = 64  # postings of a token beyond which neighbours are looked at first
     neighbours: int = 16
+    pairs: int = 400_000  # pairs a bucket looks at together
 
 
 LIMITS = Limits()
@@ -136,17 +136,21 @@ class Order:
         return out
 
 
-def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
+def _counts(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """The words of a task and their counts, one row per bucket."""
     h, n = np.unique(np.concatenate(held), return_counts=True)
-    cut = np.searchsorted(h, np.arange(WORD_BUCKETS, dtype=np.uint64) << _U(64 - WORD_BITS))
-    spans = [(k, a, b) for k, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(h)), strict=True)) if a < b]
+    bucket = (h >> _U(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
+    spans = list(zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(h)], strict=False))
     n = np.minimum(n, 2**31 - 1).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int32()), pa.array([int(b - a) for _, a, b in spans], pa.int32()), pa.array([packed(h[a:b], 8) for _, a, b in spans], pa.binary()), pa.array([packed(n[a:b], 4) for _, a, b in spans], pa.binary())], ["bucket", "size", "words", "counts"])
 
 
 def word_order(docs: DataFrame, ordered: int = ORDERED) -> tuple[Order, int]:
-    """The order by the most frequent words, at most `ordered` of them, and the number of all repeated words."""
+    """The order by the most frequent words, at most `ordered` of them, and the number of all repeated words.
+    The vocabulary is summed in as many parts as the texts have shares of WORD_BYTES."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(WORD_BITS, (size // WORD_BYTES).bit_length()), MOST_WORD_BITS)
 
     def run(batches):
         held, size = [], 0
@@ -155,10 +159,10 @@ def word_order(docs: DataFrame, ordered: int = ORDERED) -> tuple[Order, int]:
                 held.append(words(block, lower=True).hashes)
                 size += len(held[-1])
                 if size > COUNTED:
-                    yield _counts(held)
+                    yield _counts(held, bits)
                     held, size = [], 0
         if held:
-            yield _counts(held)
+            yield _counts(held, bits)
 
     def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = zip(table.column("size").to_pylist(), table.column("words"), table.column("counts"), strict=True)
@@ -307,6 +311,7 @@ class _Bucket:
         self.group = np.cumsum(np.append(True, self.token[1:] != self.token[:-1])) - 1
         self.first = np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1]))
         self.size = np.diff(np.append(self.first, len(self.group)))
+        self.unseen = np.zeros(len(self.n), bool)  # postings of which some earlier line was not looked at, or not named
         self.index = self.n - (-(-2 * like.num * self.n // (like.den + like.num))) + 1  # index prefix of a line that meets one as long or longer
 
     def before(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -339,8 +344,8 @@ class _Bucket:
         return np.where(later, x, y)[some], np.where(later, y, x)[some], d[some]
 
     def candidates(self, wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
-        """near() of all pairs, in parts; of large groups, for lines without a sure candidate among their neighbours.
-        A fourth item says whether a line has earlier lines that were not looked at."""
+        """near() of all pairs, in parts. In large groups, lines with a sure candidate among their neighbours are compared no further, and
+        are unseen."""
         many = self.size[self.group] > self.limits.large
         if not many.all():
             small = np.flatnonzero(~many)
@@ -357,7 +362,8 @@ class _Bucket:
                     k = k[wanted[at[k]]]
                 x, y, d = self.near(at[k], at[k - shift])
                 some[x[self.sure(x, y, d)]] = True
-                yield x, y, d, np.ones(len(x), bool)
+                yield x, y, d
+            self.unseen |= some
             rest = np.flatnonzero(many & ~some & (True if wanted is None else wanted))
             low = np.searchsorted(self._ordered, self._order_of(rest, -(-self.n[rest] * self.like.num // self.like.den)), "left")
             high = np.searchsorted(self._ordered, self._order_of(rest, self.n[rest] * self.like.den // self.like.num), "right")
@@ -381,7 +387,7 @@ class _Bucket:
         total = np.cumsum(count)
         a = 0
         while a < len(at):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.limits.pairs, "right")))
             c = count[a:b]
             x = np.repeat(at[a:b], c)
             y = np.repeat(low[a:b] - (np.cumsum(c) - c), c) + np.arange(len(x))
@@ -391,26 +397,23 @@ class _Bucket:
             x, y, d = self.near(x, y)
             if later is not None:
                 x, y, d = x[later[x]], y[later[x]], d[later[x]]
-            yield x, y, d, np.zeros(len(x), bool)
+            yield x, y, d
             a = b
 
 
 def _best(parts: list[tuple[np.ndarray, ...]], b: _Bucket) -> tuple[np.ndarray, ...]:
-    """The nearest candidates of each line and token, and whether there may be others. Ties are broken by
+    """The nearest candidates of each line and token; lines that lose others become unseen, and stay so. Ties are broken by
     a hash, so that no line of a group is the candidate of all others."""
-    x, y, d, more = (np.concatenate(c) for c in zip(*parts, strict=True))
+    x, y, d = (np.concatenate(c) for c in zip(*parts, strict=True))
     by = np.lexsort((mix(b.s0[y] + b.s1[x] + y.astype(np.uint64)), d, x))
-    x, y, d, more = x[by], y[by], d[by], more[by]
+    x, y, d = x[by], y[by], d[by]
     new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    x, y, d, more = x[new], y[new], d[new], more[new]
+    x, y, d = x[new], y[new], d[new]
     first = np.searchsorted(x, x)
     quota = np.where(b.sure(x[first], y[first], d[first]), b.limits.few, b.limits.quota)
     keep = np.arange(len(x)) - first < quota
-    open_ = np.zeros(len(b.n), bool)
-    open_[x[~keep]] = True
-    rest = more & b.sure(x[first], y[first], d[first])  # others of a large group were looked at for lines without a sure candidate
-    open_[x[rest]] = True
-    return x[keep], y[keep], d[keep], open_[x[keep]]
+    b.unseen[x[~keep]] = True
+    return x[keep], y[keep], d[keep]
 
 
 def _found(kind: int, size: int, **columns: np.ndarray) -> pa.RecordBatch:
@@ -440,11 +443,12 @@ def _join(columns: list[np.ndarray], like: Likeness, limits: Limits, open_: np.n
     for part in b.candidates(wanted):
         if len(part[0]):
             parts.append(part)
-            if sum(len(p[0]) for p in parts) > PAIRS:
+            if sum(len(p[0]) for p in parts) > limits.pairs:
                 parts = [_best(parts, b)]
     if not parts:
         return
-    x, y, d, more = _best(parts, b)
+    x, y, d = _best(parts, b)
+    more = b.unseen[x]
     p, q = _places(b.doc[x], b.tie[x], b.line[x]), _places(b.doc[y], b.tie[y], b.line[y])
     by = np.lexsort((~more, q, p))  # a pair may meet under several tokens
     x, y, d, more, p, q = x[by], y[by], d[by], more[by], p[by], q[by]
@@ -482,13 +486,18 @@ def candidates(posted: DataFrame, like: Likeness = LIKE, open_: np.ndarray | Non
 
 
 def _hot_pairs(slices: DataFrame, settled: DataFrame, like: Likeness) -> DataFrame:
-    """All candidates under hot tokens of lines not settled, joined as rows: (doc, tie, line, doc_b, tie_b, line_b, apart)."""
-    a, b = slices.join(settled, list(PLACE), "left_anti").alias("a"), slices.alias("b")
+    """All candidates under hot tokens of lines not settled, joined as rows: (doc, tie, line, doc_b, tie_b, line_b, apart).
+    Matching lines lie in the same band of sizes or in neighbouring ones, so lines meet by token and band."""
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(like.den / like.num)) + 1e-9).cast("int")
+    a = slices.join(settled, list(PLACE), "left_anti").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("a")
+    b = slices.withColumn("band", band).alias("b")
     na, nb = F.col("a.n").cast("long"), F.col("b.n").cast("long")
     most = F.floor((na + nb) * (like.den - like.num) / (like.den + like.num))
+    index = lambda n: n - F.ceil(2 * like.num * n / (like.den + like.num)) + 1
+    first = F.when(na <= nb, F.col("a.i") < index(na)).otherwise(F.col("b.i") < index(nb))
     d = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     place = lambda t: F.struct(*(f"{t}.{c}" for c in PLACE))
-    passes = (F.col("a.token") == F.col("b.token")) & (place("a") > place("b")) & (like.den * na >= like.num * nb) & (like.den * nb >= like.num * na) & (F.col("a.i") + F.col("b.i") <= most) & (d <= most)
+    passes = (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (place("a") > place("b")) & (like.den * na >= like.num * nb) & (like.den * nb >= like.num * na) & first & (F.col("a.i") + F.col("b.i") <= most) & (d <= most)
     pairs = a.join(b, passes).select(*(f"a.{c}" for c in PLACE), *(F.col(f"b.{c}").alias(f"{c}_b") for c in PLACE), d.cast("int").alias("apart"))
     return pairs.distinct()
 
