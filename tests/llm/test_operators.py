@@ -79,6 +79,13 @@ def test_quality_counts(spark, docs, rows):
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def test_quality_rules_keep_other_columns(spark):
+    frame = spark.createDataFrame([(1, "a b", 5, "x", 2.5, "y", "z")], "doc_id long, text string, N_Words int, _w string, _H double, _tagged string, Kept string")
+    row = quality_rules.judge(frame).first()
+    assert (row["_w"], row["_H"], row["_tagged"], row.n_words, row.kept) == ("x", 2.5, "y", 2, False)
+    assert sorted(c.lower() for c in row.asDict()) == sorted({"doc_id", "text", "_w", "_h", "_tagged", "base_failed", "kept", *quality_rules.COUNTS})
+
+
 def test_quality_filter_runs_on_long_texts(docs):
     assert quality_rules.judge(docs).where("kept").count() >= 0  # the filter stays above the counts
 
@@ -376,7 +383,7 @@ def near_lines(rng, n):
     return [c + "\n" + " ".join(rng.choice(VOCABULARY[:12]) for _ in range(3)) for c in copies]
 
 
-@pytest.mark.parametrize("limits", [line_dedup.LIMITS, line_dedup.Limits(seen=5, postings=200, bucket=300, hot=60, quota=1, few=1, large=4, neighbours=2)])
+@pytest.mark.parametrize("limits", [line_dedup.LIMITS, line_dedup.Limits(seen=5, postings=200, bucket=300, hot=60, quota=1, few=1, large=4, neighbours=2), line_dedup.Limits(quota=2, few=1, large=8, neighbours=1, pairs=20)])
 def test_line_dedup_equals_all_pairs(spark, limits):
     rng = random.Random(8)
     rows = [*corpus(seed=8, n=30)]
@@ -393,6 +400,45 @@ def test_line_dedup_equals_all_pairs(spark, limits):
         assert (r.n_lines_removed == 0) == (r.text == r.old)
 
 
+@pytest.mark.parametrize("pairs", [60, 400_000])
+def test_line_dedup_looks_past_many_near_misses(spark, pairs):
+    """Groups of 120 lines just below the bound, one above it, and the line that all are made from last: only that goes, whatever is looked at together."""
+    rng, rows = random.Random(7), []
+    for g in range(10):
+        base = [f"g{g}w{i}" for i in range(41)]
+        made = lambda n, i, base=base, g=g: " ".join([*rng.sample(base, 41 - n), *(f"g{g}l{i}x{k}" for k in range(n))])
+        lines = [made(5, i) for i in range(120)]
+        lines.insert(rng.randrange(120), made(4, 120))
+        rows += [(1000 * g + i, t) for i, t in enumerate([*lines, " ".join(base)])]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), limits=line_dedup.Limits(quota=4, few=2, large=1000, pairs=pairs))
+    assert sorted(r.doc_id for r in out.where("n_lines_removed > 0").collect()) == [1000 * g + 121 for g in range(10)]
+
+
+def test_line_dedup_a_sure_candidate_does_not_close_a_line():
+    """A line whose nearest candidate is not sure, but another is, is compared no further in a large group: it stays open."""
+    def row(token, n, i, s0, doc):
+        return token, doc, 0, 0, n, i, s0
+    sketch = lambda bits: (1 << bits) - 1
+    rows = [row(9, 50, 0, sketch(6), 1), row(9, 32, 0, sketch(5), 2), row(9, 50, 0, sketch(1), 0), row(9, 40, 0, 0, 3)]
+    rows += [row(9, 400 + k, 0, 0, 10 + k) for k in range(80)]
+    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint64)
+    columns = [np.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] + [np.zeros(len(rows), np.uint64)] * 3
+    b = line_dedup._Bucket(columns, line_dedup.LIKE, line_dedup.Limits(neighbours=2))
+    met = list(b.candidates(None))
+    at = int(np.flatnonzero(b.doc == 3)[0])
+    best = line_dedup._best([m for m in met if len(m[0])], b)
+    named = set(b.doc[best[1][best[0] == at]].tolist())
+    assert named and (0 in named or b.unseen[at])
+
+
+def test_line_dedup_hot_words_meet_by_band(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["the", *(rng.choice(VOCABULARY[:14]) + str(rng.randrange(2)) for _ in range(rng.randrange(1, 40)))]), "", "", 0) for i in range(250)]
+    want = plain_line_dedup(rows, spark_tie(spark, rows))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3), limits=line_dedup.Limits(hot=20, bucket=200)).collect()
+    assert {r.doc_id: r.text for r in out} == {k[1]: t for k, t in want.items()} and sum(r.n_lines_removed for r in out) > 3
+
+
 def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
