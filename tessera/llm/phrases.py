@@ -54,7 +54,7 @@ class Limits:
 
     words: int = 1_000_000  # distinct words of blocks that a task holds before it sums them
     suffixes: int = 1_000_000  # suffixes a task sorts together
-    bucket: int = 1_000_000  # suffixes meant for one bucket
+    bucket: int = 150_000  # suffixes meant for one bucket
     frequent: int = 100_000  # occurrences of a word beyond which the next word takes part in routing
 
 
@@ -332,9 +332,19 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, top: int = 200
         name = names.select(F.col("key").alias(f"_k{i}"), F.col("word").alias(f"_w{i}"), *(["lang"] if i == 0 else []))
         kept = kept.withColumn(f"_k{i}", F.get("words", F.lit(i))).join(name, f"_k{i}", "left")
     kept = kept.withColumn("phrase", F.concat_ws(" ", *(f"_w{i}" for i in range(most))))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = Window.partitionBy("lang", "_salt").orderBy(*order)
-    kept = kept.withColumn("_salt", F.pmod(F.xxhash64("words"), F.lit(salts))).withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= top)
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select(*SCORED)
+    return ranked(kept, totals, top)
+
+
+def ranked(kept: DataFrame, totals: DataFrame, top: int) -> DataFrame:
+    """SCORED rows. Phrases are dealt out by range of (lang, score, count, text), so that no task ranks a language alone: a rank is the place in its
+    task, less where the language starts there, and what tasks before it hold of the language."""
+    order = [F.asc("lang"), F.desc("score"), F.desc("a"), F.asc("phrase")]
+    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = written(kept.select("lang", "phrase", "a", "l", "r", "score"), "phrases-scored")
+    kept = kept.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    kept = written(kept.withColumn("_task", F.shiftrightunsigned("_place", 33)), "phrases-ordered")
+    own = kept.groupBy("lang", "_task").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))  # a row a task and one a language
+    own = own.withColumn("_base", F.sum("_n").over(Window.partitionBy("lang").orderBy("_task")) - F.col("_n"))
+    out = kept.join(broadcast_if_small(own.drop("_n"), LOOKUP_ROWS), ["lang", "_task"])
+    out = out.withColumn("rank", F.col("_base") + F.col("_place") - F.col("_first") + 1).where(F.col("rank") <= top)
+    return out.join(totals, "lang").select(*SCORED)
