@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
-from tessera.operators import chunking as C
+from tessera.operators import indexing as I
 from tessera.operators import vectors as V
 from tessera.plans.registry import Registry, table
 from tessera.plans.vector_queries import _seeds, _unit
+from tessera.sources.tables import shared_folder
 from tessera.streaming import jobs as S
 
 reg = Registry()
@@ -46,18 +48,57 @@ def lease_expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_to_table(S.lease_expiry_stream(beats), "leases")
 
 
+def _doc_blocks(docs: DataFrame) -> DataFrame:
+    """Three lines of a text are a page. A text whose newest row is another one is not indexed, so only the newest gives blocks."""
+    newest = docs.where("NOT deleted").groupBy("doc_id").agg(F.max_by("text", F.struct("version", F.xxhash64("name"))).alias("text"))
+    lines = newest.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return lines.select("doc_id", F.expr("ord div 3").cast("int").alias("page"), "ord", "text")
+
+
+def _as_documents(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("source").alias("name"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"), "text")
+
+
+def _index(spark: SparkSession) -> I.ChunkIndex:
+    return I.ChunkIndex(spark, f"{shared_folder(spark)}/chunk-index-{uuid.uuid4().hex}")
+
+
+@reg.add(r"""SELECT CASE WHEN count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '\S')) > 0 THEN 'partial' ELSE 'ok' END AS status, count(*) AS documents,
+count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '\S')) AS errors, TRUE AS every_text_chunked FROM documents""")
+def rebuild_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents chunked anew: counts of the job, and whether all with text have chunks."""
+    docs = _as_documents(table(spark, sf_dir, "documents"))
+    index = _index(spark)
+    counts = index.rebuild(docs.drop("text"), _doc_blocks(docs))
+    having = index.chunks().agg(F.count_distinct("doc_id").alias("having"))
+    return counts.join(F.broadcast(having)).select("status", "documents", "errors", (F.col("having") == F.col("documents") - F.col("errors")).alias("every_text_chunked"))  # one row each
+
+
 @reg.add()
 def incremental_chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arriving documents to chunks with language and embedding text."""
-    lines = _stream(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    blocks = lines.select("doc_id", F.expr("ord div 3").cast("int").alias("page"), "ord", "text")
-
-    def each(df: DataFrame) -> DataFrame:
-        c = C.chunk_corpus(df)
-        made = T.build_embedding_text(F.col("doc_id").cast("string"), F.col("section_path"), F.col("page_start"), F.col("text"))
-        return c.select("doc_id", "chunk_index", "text", T.detect_language(F.col("text")).alias("language"), made.alias("embedding_text"))
-
-    return S.run_to_table(blocks, "chunks", each=each)
+    index = _index(spark)
+    stream = _as_documents(_stream(spark, sf_dir, "documents"))
+    I.follow(stream, index, _doc_blocks, f"{index.path}/state")
+    language = index.documents().select("doc_id", "language")
+    return index.chunks().join(language, "doc_id").select("doc_id", "chunk_index", "text", "language", "embedding_text")
+
+
+@reg.add("""SELECT CASE WHEN l.toxic = 1 THEN 'deleted' WHEN l.quality = 0 THEN 'replaced' ELSE 'kept' END AS outcome, count(*) AS documents,
+count(*) FILTER (l.toxic = 1) AS without_chunks FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over an index of all documents, a stream of labels deletes toxic ones and sends bad ones again, twice: what each document has come to."""
+    docs = _as_documents(table(spark, sf_dir, "documents"))
+    index = _index(spark)
+    index.rebuild(docs.drop("text"), _doc_blocks(docs))
+    changed = _stream(spark, sf_dir, "labels").where("toxic = 1 OR quality = 0").join(docs, "doc_id")
+    changed = changed.select("doc_id", "name", F.lit(2).cast("long").alias("version"), (F.col("toxic") == 1).alias("deleted"), F.when(F.col("toxic") == 1, "").otherwise(F.concat(F.lit("again\n"), "text")).alias("text"))
+    for turn in range(2):
+        I.follow(changed, index, _doc_blocks, f"{index.path}/state-{turn}")
+    first = index.chunks().where("chunk_index = 0").select("doc_id", F.col("text").startswith("again").alias("again"))
+    rows = index.documents().join(first, "doc_id", "left")
+    outcome = F.when(F.col("status") == "deleted", "deleted").when(F.col("again"), "replaced").otherwise("kept")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("documents"), F.count_if(F.col("again").isNull()).alias("without_chunks"))
 
 
 @reg.add()
