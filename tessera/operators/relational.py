@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import saved
+
 
 def log_kpis(log: DataFrame) -> DataFrame:
     """log (refused boolean, time_ms, rating) to one row; zeros for an empty log."""
@@ -125,10 +127,32 @@ def stuck_documents(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.withColumn("new_status", new).where("new_status IS NOT NULL").withColumn("error_text", F.when(F.col("new_status") == "error", F.coalesce("error_text", F.lit("interrupted"))).otherwise(F.col("error_text"))).drop("_q", "_l")
 
 
+def order_statistics(rows: DataFrame, by: str, value: str, wanted: DataFrame, few: int = 10_000, buckets: int = 1024) -> DataFrame:
+    """(by, name, x): the k-th smallest value of each group, for wanted (by, name, k from 1). Exact, for groups of any size: histogram passes narrow each
+    wanted one to a range of at most `few` rows, or of equal values, and only those rows are ordered. Null values do not count."""
+    rows = saved(rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v")), "values")
+    whole = rows.groupBy(by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    state = saved(wanted.select(by, "name", F.col("k").cast("long").alias("k")).join(whole, by), "ranges")
+    open_ = (F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))
+    while state.where(open_).limit(1).count():
+        some = state.where(open_).select(by, "name", "k", "_lo", "_hi")
+        inside = rows.join(some, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        bucket = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets).cast("int"))
+        counts = inside.groupBy(by, "name", "k", bucket.alias("_b")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(by, "name").orderBy("_b")) - F.col("_n")  # at most `buckets` rows
+        narrowed = counts.withColumn("_before", before).where((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_n")))
+        state = saved(state.where(~open_).unionByName(narrowed.select(by, "name", (F.col("k") - F.col("_before")).alias("k"), "_lo", "_hi", "_n")), "ranges")
+    settled = state.where("_lo = _hi").select(by, "name", F.col("_lo").alias("x"))
+    left = rows.join(state.where("_lo < _hi"), by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    place = F.row_number().over(Window.partitionBy(by, "name").orderBy("_v"))  # at most `few` rows
+    return settled.unionByName(left.withColumn("_r", place).where("_r = k").select(by, "name", F.col("_v").alias("x")))
+
+
 def timing_summary(calls: DataFrame, group: str, value: str) -> DataFrame:
-    """Nearest-rank p50 and p90, largest, total and count by group, from exact percentiles."""
-    w = Window.partitionBy(group).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(group))
-    at = lambda p: F.max(F.when(F.col("_r") == F.ceil(F.col("_n") * p), F.col(value)))
-    ranked = calls.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w)).withColumn("_n", n)
-    return ranked.groupBy(group).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(value).alias("longest"), F.round(F.sum(value), 2).alias("total"), F.count("*").alias("n"))
+    """Nearest-rank p50 and p90, largest, total and count by group, from exact order statistics."""
+    known = calls.where(F.col(value).isNotNull())
+    totals = known.groupBy(group).agg(F.max(value).alias("longest"), F.round(F.sum(value), 2).alias("total"), F.count("*").alias("n"))
+    share = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("n") * p).alias("k")) for name, p in (("p50", 0.5), ("p90", 0.9))])).alias("w")
+    found = order_statistics(known, group, value, totals.select(group, share).select(group, "w.*"))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("x"))).alias(name)
+    return found.groupBy(group).agg(at("p50"), at("p90")).join(totals, group).select(group, "p50", "p90", "longest", "total", "n")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.relational import order_statistics
+
 BLOCK = 4096
 
 
@@ -241,6 +243,21 @@ def pca_project(rows: DataFrame, mean: np.ndarray, axes: np.ndarray, drop: int,
     return _blocks(rows, per_block, [("projected", T.ArrayType(T.DoubleType()))])
 
 
+def pca_coordinates(rows: DataFrame, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """rows with their coordinates along axes, of any length."""
+    shared = rows.sparkSession.sparkContext.broadcast((mean, axes))
+    return _blocks(rows, lambda v: {"coordinates": (v - shared.value[0]) @ shared.value[1].T}, [("coordinates", T.ArrayType(T.DoubleType()))])
+
+
+def centered_by(rows: DataFrame, train: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """rows less the mean of the training rows of their group, else of all training rows; unit length before and after."""
+    unit = train.withColumn("v", l2_normalize(F.col("v")))
+    own = means(unit, *groups).select(*groups, F.col("mean").alias("_m"))
+    every = means(unit).select(F.col("mean").alias("_g"))
+    out = rows.withColumn("v", l2_normalize(F.col("v"))).join(own, list(groups), "left").join(F.broadcast(every))  # one row
+    return out.withColumn("v", l2_normalize(F.zip_with("v", F.coalesce("_m", "_g"), lambda x, m: x - m))).select(*rows.columns)
+
+
 def strip_direction(v: Column, direction: Column) -> Column:
     """Less its component along a unit direction; unit length after."""
     along = dot(v, direction)
@@ -257,7 +274,15 @@ def contrast_direction(rows: DataFrame, side: Column, least: int = 30) -> DataFr
 
 
 def margin_threshold(assigned: DataFrame, share: float = 0.1) -> DataFrame:
-    return assigned.agg(F.percentile("margin", share).alias("threshold"))
+    """One row: the exact quantile of the margins with linear interpolation, from its two order statistics; no task holds all margins."""
+    rows = assigned.where("margin IS NOT NULL").select(F.lit(0).alias("of"), "margin")
+    n = rows.agg(F.count("*").alias("n"))
+    at = share * (F.col("n") - 1)
+    low = F.floor(at)
+    wanted = n.where("n > 0").select(F.lit(0).alias("of"), F.explode(F.array(F.struct(F.lit("low").alias("name"), (low + 1).alias("k")), F.struct(F.lit("high").alias("name"), F.least(low + 2, F.col("n")).alias("k")))).alias("w")).select("of", "w.*")
+    found = order_statistics(rows, "of", "margin", wanted)
+    both = found.agg(F.max(F.when(F.col("name") == "low", F.col("x"))).alias("a"), F.max(F.when(F.col("name") == "high", F.col("x"))).alias("b"))
+    return both.join(n).select((F.col("a") + (F.col("b") - F.col("a")) * (at - low)).alias("threshold"))
 
 
 def silhouette_samples(rows: DataFrame, block: int = 2048) -> DataFrame:
@@ -325,11 +350,17 @@ def contingency_scores(pairs: DataFrame, true: str, found: str, *by: str) -> Dat
 
 
 def stratified_sample(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """Per group max(2, rounded share of n) rows, in md5 order of id."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
-    take = sizes.select(by, F.greatest(F.lit(2), F.round(n * F.col("size") / F.sum("size").over(Window.partitionBy()))).alias("take"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.col("id").cast("string")), "id"))
-    return rows.join(take, by).withColumn("place", place).where("place <= take").drop("place", "take")
+    """Per group max(2, rounded share of n) rows, in md5 order of id. Rows are counted by group and hash prefix first, so that only
+    prefixes that reach into the sample are ranked, each by itself."""
+    marked = rows.withColumn("_h", F.md5(F.col("id").cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    per = marked.groupBy(by, "_b").agg(F.count("*").alias("_c"))
+    sizes = per.groupBy(by).agg(F.sum("_c").alias("size"))
+    total = sizes.agg(F.sum("size").alias("all"))
+    take = sizes.join(F.broadcast(total)).select(by, F.greatest(F.lit(2), F.round(n * F.col("size") / F.col("all"))).alias("take"))  # one row
+    before = F.sum("_c").over(Window.partitionBy(by).orderBy("_b")) - F.col("_c")  # at most 4096 prefixes a group
+    reach = per.withColumn("_before", before).join(take, by).where("_before < take").select(by, "_b", "_before", "take")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_h", "id"))
+    return marked.join(reach, [by, "_b"]).withColumn("place", place).where("place <= take").select(*rows.columns)
 
 
 def dominant_topics(rows: DataFrame, cluster: str, topic: str, k: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators.relational import owned_rows
 from tessera.plans.registry import Registry, table
@@ -231,22 +230,3 @@ def fallback_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = queries.where("qid % 300 <> 0").select("qid")
     found = R.knn_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries.join(answered, "qid", "left_anti"), 3)
     return found.select("qid", "id", F.lit("fallback").alias("method"), F.col("rank").cast("long").alias("rank"))
-
-
-@reg.add()
-def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and vector candidates, fused, cut by distance, re-ranked and rid of near-equal texts, for all questions at once."""
-    e = table(spark, sf_dir, "embeddings")
-    lexical = _lexical(spark, sf_dir, 20).select("qid", F.col("chunk_id").alias("key"), F.lit("lexical").alias("method"), "rank", F.lit(None).cast("double").alias("distance"))
-    near = _vector(spark, sf_dir, 20).select("qid", F.col("id").alias("key"), F.lit("vector").alias("method"), "rank", "distance")
-    both = lexical.unionByName(near)
-    fused = R.rrf_fuse(both).join(both.groupBy("qid", "key").agg(F.min("distance").alias("distance")), ["qid", "key"])
-    fused = R.threshold_with_floor(fused, 1.5)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("title"), "text")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    rows = fused.join(R.query_side(q), "qid").join(docs, "key")
-    asked, body = F.array_distinct(_words(F.col("question"))), F.array_distinct(_words(F.col("text")))
-    share = lambda xs: F.size(F.array_intersect(asked, xs)) / F.greatest(F.size(asked), F.lit(1))
-    rows = rows.select("qid", F.col("key").alias("id"), "rank", "distance", share(body).alias("body_overlap"), share(_words(F.col("title"))).alias("title_overlap"), (T.detect_language(F.col("question")) != T.detect_language(F.col("text"))).alias("cross_language"), F.lower("text").contains(F.lower("question")).alias("phrase"), F.lit(False).alias("article"), F.lit(False).alias("year"), body.alias("words"))
-    ranked = R.heuristic_rerank(rows).drop("rank").withColumnRenamed("new_rank", "rank")
-    return R.suppress_text_duplicates(ranked.select("qid", "id", "rank", "words"), 8)

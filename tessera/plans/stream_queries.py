@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import indexing as I
 from tessera.operators import vectors as V
 from tessera.plans.registry import Registry, table
-from tessera.plans.vector_queries import _seeds, _unit
+from tessera.plans.vector_queries import _A, _seeds, _unit
 from tessera.sources.tables import shared_folder
 from tessera.streaming import jobs as S
 
@@ -44,7 +44,9 @@ def running_log_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add()
 def lease_expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beats = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("job_id"), "ts")
+    """Events as heartbeats of their users' jobs; those of one kind end a job."""
+    kind = F.when(F.col("event_type") == "purchase", "finish").otherwise("beat")
+    beats = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("job_id"), "ts", kind.alias("kind"))
     return S.run_to_table(S.lease_expiry_stream(beats), "leases")
 
 
@@ -101,9 +103,10 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("documents"), F.count_if(F.col("again").isNull()).alias("without_chunks"))
 
 
-@reg.add()
+@reg.add(f"WITH {_A} SELECT id, CASE WHEN id % 97 > 0 THEN cluster END AS cluster, CASE WHEN id % 97 = 0 THEN 'width' END AS error FROM a")
 def stream_topic_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving vectors to their nearest topic of a fixed model."""
+    """Arriving vectors to their nearest topic of a fixed model; ids divisible by 97 arrive cut short, get no topic, and stop no other."""
     seeds = _seeds(_unit(spark, sf_dir))
-    rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.l2_normalize(F.col("embedding").cast("array<double>")).alias("v"))
-    return S.run_to_table(rows, "topics", each=lambda df: V.assign_nearest(df, seeds).select("id", "cluster", "margin"))
+    v = V.l2_normalize(F.col("embedding").cast("array<double>"))
+    rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 97 == 0, F.slice(v, 1, 3)).otherwise(v).alias("v"))
+    return S.run_to_table(rows, "topics", each=lambda df: S.assign_or_error(df, seeds)).select("id", "cluster", "error")

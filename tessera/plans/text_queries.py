@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.lexical import tokenized
 from tessera.plans.registry import Registry, table
 
 reg = Registry()
@@ -92,19 +93,16 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.array_join(T.char_ngrams(F.col("word")), " ").alias("grams"))
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, term, tf): stems, and the 3-grams of stems of four letters or more; parts of hyphenated words without grams."""
-    raw = docs.select("doc_id", F.explode(T.raw_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    parts = raw.where(F.col("word").contains("-")).select("doc_id", F.explode(F.split("word", "-")).alias("word"), "n").withColumn("part", F.lit(True))
-    both = raw.withColumn("part", F.lit(False)).unionByName(parts).where(~F.col("word").isin(*T.STOP_WORDS))
-    known = both.withColumn("stem", T.stem(F.col("word"))).where((F.length("stem") >= 2) | F.col("stem").rlike(r"^\d+$"))
-    grams = F.when(~F.col("part") & (F.length("stem") >= 4), F.concat(F.array("stem"), T.char_ngrams(F.col("stem")))).otherwise(F.array("stem"))
-    return known.select("doc_id", F.explode(grams).alias("term"), "n").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+TOKENS_SQL = rf"""raw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.TOKEN}')) AS word FROM documents) GROUP BY ALL),
+both_ AS (SELECT doc_id, word, n, FALSE AS part FROM raw UNION ALL SELECT doc_id, unnest(string_split(word, '-')), n, TRUE FROM raw WHERE contains(word, '-')),
+known AS (SELECT * FROM both_ WHERE word NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}) AND (length(word) >= 2 OR regexp_matches(word, '^[0-9]+$'))),
+terms AS (SELECT doc_id, term, sum(n)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(CASE WHEN NOT part AND length(word) >= 4 THEN
+list_concat([word], list_distinct(list_transform(range(1, length(word) - 1), lambda i: word[i:i + 2]))) ELSE [word] END) AS term FROM known) GROUP BY ALL)"""
 
 
-@reg.add()
+@reg.add(f"WITH {TOKENS_SQL} SELECT * FROM terms")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @reg.add()

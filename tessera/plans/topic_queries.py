@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import audit as A
 from tessera.operators import corpus as J
+from tessera.operators import search as X
+from tessera.operators import stores as O
 from tessera.operators import topics as P
 from tessera.operators import vectors as V
 from tessera.plans.corpus_queries import _terms
 from tessera.plans.registry import Registry, table
 from tessera.plans.vector_queries import _A, _N, K, _seeds, _unit, stored
+from tessera.sources.tables import saved, shared_folder
 
 reg = Registry()
 
@@ -135,14 +141,17 @@ def year_targeted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.year_targeted(q, table(spark, sf_dir, "documents").select("doc_id"), F.col("y"), (F.lit(1990) + F.col("doc_id") % 7).cast("string"))
 
 
-@reg.add()
+@reg.add(r"""WITH k AS (SELECT count(DISTINCT label) AS k FROM embeddings) SELECT i AS version, CASE WHEN i = 1 THEN k ELSE k - 1 END AS clusters, i = 2 AS is_active FROM k, (VALUES (1), (2)) AS v(i)""")
 def topic_model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model registered twice is one version; a changed one becomes the next."""
-    means = V.means(_unit(spark, sf_dir), "label").select(F.col("label").alias("cluster"), F.col("mean").alias("v"))
-    none = spark.createDataFrame([], "version int, digest string, is_active boolean")
-    first = P.register_version(none, P.model_digest(means))
-    again = P.register_version(first, P.model_digest(means))
-    return P.register_version(again, P.model_digest(means.where("cluster > 0")))
+    """A model published twice is one version; one with a cluster less becomes the next. Clusters are those read back."""
+    means = saved(V.means(_unit(spark, sf_dir), "label").select((F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"), F.col("mean").alias("v"), "n"), "label-means")  # a row a label
+    topics = lambda rows: rows.select("cluster", F.concat(F.lit("topic "), "cluster").alias("label"), F.lit(1.0).alias("share"), F.col("n").alias("size"))
+    store = O.ModelStore(spark, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}")
+    whole, less = means, means.where(F.col("cluster") < means.count() - 1)
+    for rows in (whole, whole, less):
+        store.publish({"centroids": rows.select("cluster", "v"), "topics": topics(rows)})
+    sizes = [(v, store.load(v)["centroids"].count()) for v in (1, 2)]
+    return store.versions().join(F.broadcast(spark.createDataFrame(sizes, "version int, clusters long")), "version").select("version", "clusters", "is_active")
 
 
 @reg.add("""SELECT lang, count(*) AS n, count(DISTINCT md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS distinct_texts, count(*) FILTER (doc_id IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))) AS overlapping FROM documents GROUP BY lang""")
@@ -158,3 +167,75 @@ def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = d.select("doc_id", "text", F.explode(heads).alias("head"))
     hit = starts.join(b, "head").where(F.expr("contains(text, passage)")).select("doc_id").distinct().withColumn("_o", F.lit(1))
     return d.join(hit, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.md5(J.prefix_key(F.col("text"), 1 << 30))).alias("distinct_texts"), F.count("_o").alias("overlapping"))
+
+
+@reg.add(r"""WITH w AS (SELECT doc_id AS id, lang AS grp, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents),
+s AS (SELECT DISTINCT id, grp, g FROM (SELECT id, grp, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS x FROM s a JOIN s b ON a.grp = b.grp AND a.g = b.g AND a.id <> b.id GROUP BY ALL),
+j AS (SELECT a AS id, max(x / (u.n + v.n - x)) AS j FROM p JOIN n u ON u.id = a JOIN n v ON v.id = b WHERE x / (u.n + v.n - x) >= 0.5 GROUP BY a)
+SELECT grp, count(*) AS n, count(j) AS near, round(max(j), 6) AS greatest FROM w LEFT JOIN j USING (id) GROUP BY grp""")
+def near_duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, the documents with a near copy and the greatest five-word Jaccard."""
+    return A.near_duplicate_audit(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text"))
+
+
+_LAYERS = """d AS (SELECT CASE WHEN l.doc_id IS NULL THEN 'synthetic' ELSE 'real' END AS origin, lang AS language, source AS t, n_chars // 1000 AS p FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
+y AS (SELECT CASE WHEN GROUPING(language) = 0 THEN 'cell' WHEN GROUPING(origin) = 0 THEN 'layer' ELSE 'mixed' END AS level, coalesce(origin, '') AS origin, coalesce(language, '') AS language, t, p, count(*) AS n FROM d GROUP BY GROUPING SETS ((origin, t, p), (t, p), (origin, language, t, p))),
+a AS (SELECT level, origin, language, sum(n) AS total, sum(n * (n - 1) / 2) AS both_ FROM y GROUP BY ALL),
+f AS (SELECT level, origin, language, sum(c * (c - 1) / 2) AS in_f, sum(m) AS pure FROM (SELECT level, origin, language, p, sum(n) AS c, max(n) AS m FROM y GROUP BY ALL) GROUP BY ALL),
+w AS (SELECT level, origin, language, sum(r * (r - 1) / 2) AS in_t FROM (SELECT level, origin, language, t, sum(n) AS r FROM y GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT level, origin, language, round(pure / total, 6) AS purity, round(CASE WHEN (in_t + in_f) / 2 = in_t * in_f / greatest(total * (total - 1) / 2, 1) THEN 1 ELSE (both_ - in_t * in_f / greatest(total * (total - 1) / 2, 1)) / ((in_t + in_f) / 2 - in_t * in_f / greatest(total * (total - 1) / 2, 1)) END, 6) AS ari, total::BIGINT AS n FROM a JOIN f USING (level, origin, language) JOIN w USING (level, origin, language))
+SELECT level, origin, language, round(purity, 4) AS purity, round(ari, 4) AS ari, n FROM s
+UNION ALL SELECT 'mean', origin, '', round(avg(purity), 4), round(avg(ari), 4), sum(n)::BIGINT FROM s WHERE level = 'cell' GROUP BY origin
+UNION ALL SELECT 'gap', '', language, round(min_by(purity, origin) - max_by(purity, origin), 4), round(min_by(ari, origin) - max_by(ari, origin), 4), sum(n)::BIGINT FROM s WHERE level = 'cell' GROUP BY language HAVING count(*) > 1"""
+
+
+@reg.add(f"WITH {_LAYERS}")
+def layer_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a clustering by origin, over all, by origin and language, with means and gaps; labelled documents stand for real ones."""
+    real = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_r", F.lit(True))
+    d = table(spark, sf_dir, "documents").join(real, "doc_id", "left")
+    rows = d.select(F.when(F.col("_r"), "real").otherwise("synthetic").alias("origin"), F.col("lang").alias("language"), F.col("source").alias("t"), F.expr("n_chars div 1000").alias("p"))
+    return A.layer_reports(rows, "t", "p").select("level", "origin", "language", F.round("purity", 4).alias("purity"), F.round("ari", 4).alias("ari"), "n")
+
+
+def _with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with topic, language, origin and split of the documents with their ids."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 0, "real").otherwise("synthetic").alias("origin"))
+    h = F.pmod(F.xxhash64("id"), F.lit(10))
+    split = F.when(h < 6, "train").when(h < 8, "validation").otherwise("test")
+    return saved(_unit(spark, sf_dir).withColumnRenamed("label", "topic").join(d, "id").withColumn("split", split), "vectors-with-facts")
+
+
+@reg.add()
+def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projections of the vectors and numbers of clusters, scored by topic and language, with the chosen one marked."""
+    grid, (drop, keep, k) = X.search_projection(_with_facts(spark, sf_dir), [0, 1], [8, 16], [4, 8], n_init=2)
+    return grid.withColumn("chosen", (F.col("drop") == drop) & (F.col("keep") == keep) & (F.col("k") == k))
+
+
+@reg.add()
+def run_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six ways to centre or split before clustering, in up to three regimes of k, with the winner marked."""
+    results, winner = X.run_variants(_with_facts(spark, sf_dir), 12, [2, 4, 8], n_init=1)
+    return results.withColumn("winner", F.col("variant") == winner)
+
+
+@reg.add("SELECT count(*) AS filled, 0::BIGINT AS filled_again, count(*) AS under_next_version, count(*) FILTER (quality = 1) AS replaced FROM (SELECT DISTINCT vec_id, max(quality) AS quality FROM embeddings LEFT JOIN labels ON doc_id = vec_id GROUP BY vec_id)")
+def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector store filled from the table: a second fill makes nothing, a new version starts empty, and vectors of good documents are replaced."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("string"))).alias("text"))
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+
+    def embed(batches):
+        for b in batches:
+            yield b.assign(v=[[float(x) for x in t.split()] for t in b["text"]])[["id", "v"]]
+
+    store = O.VectorStore(spark, path, "table", 1)
+    counts = [store.fill(rows, embed), store.fill(rows, embed), O.VectorStore(spark, path, "table", 2).missing(rows).count()]
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    store.upsert(store.vectors().join(good, "id").select("id", F.transform("v", lambda x: -x).alias("v")))
+    first = store.fetch(rows.select("id").distinct().withColumn("place", F.col("id"))).withColumnRenamed("v", "now").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    replaced = first.where(F.col("now")[0] == -F.col("embedding")[0]).count()
+    return spark.createDataFrame([(*counts, replaced)], "filled long, filled_again long, under_next_version long, replaced long")

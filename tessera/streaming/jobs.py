@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.vectors import assign_nearest
 from tessera.sources.tables import shared_folder
 
 ADMITTED = "user_id long, event_id long, ts timestamp, admitted boolean, remaining int, retry_after_s double"
@@ -66,24 +67,48 @@ def rate_limited_stream(events: DataFrame, limit: int, window_s: float, late: st
     return rows.groupBy("user_id").applyInPandasWithState(run, ADMITTED, "hits array<timestamp>", "append", "EventTimeTimeout")
 
 
-def lease_expiry_stream(beats: DataFrame, lease_s: int = 60, limit: int = 3, late: str = "1 minute") -> DataFrame:
-    """beats (job_id, ts): a job whose last beat is older than the lease is queued again, or failed after `limit` expiries."""
+def lease_expiry_stream(events: DataFrame, lease_s: int = 60, limit: int = 3, forget_s: int = 86_400, late: str = "1 minute") -> DataFrame:
+    """events (job_id, ts, kind): a job whose last heartbeat is older than the lease is queued again, or failed after `limit` expiries. A job that
+    finishes, fails, or sends nothing for forget_s after it was queued again leaves no state; a heartbeat after that begins anew."""
     schema = "job_id long, last timestamp, new_status string"
 
     def run(key, batches, state):
-        last, lost = state.get if state.exists else (None, 0)
+        last, lost, waiting = state.get if state.exists else (None, 0, False)
         if state.hasTimedOut:
+            if waiting:  # queued again, and not heard of since
+                state.remove()
+                return
             lost += 1
             yield pd.DataFrame([(key[0], last, "failed" if lost >= limit else "queued")], columns=["job_id", "last", "new_status"])
-            state.update((last, lost))
+            if lost >= limit:
+                state.remove()
+                return
+            state.update((last, lost, True))
+            state.setTimeoutTimestamp(max(int((pd.Timestamp(last).timestamp() + lease_s + forget_s) * 1000), state.getCurrentWatermarkMs() + 1))
             return
-        newest = max(b["ts"].max() for b in batches)
-        last = newest if last is None else max(pd.Timestamp(last), newest)
-        state.update((last.to_pydatetime(), lost))
-        end = int((last.timestamp() + lease_s) * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-
-    return beats.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(run, schema, "last timestamp, lost int", "append", "EventTimeTimeout")
+        rows = pd.concat(list(batches)).sort_values("ts")
+        newest = rows.iloc[-1]
+        if newest["kind"] == "finish":
+            if state.exists:
+                state.remove()
+            return
+        beat = newest["ts"] if last is None else max(pd.Timestamp(last), newest["ts"])
+        state.update((beat.to_pydatetime(), lost, False))
+        state.setTimeoutTimestamp(max(int((beat.timestamp() + lease_s) * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(run, schema, "last timestamp, lost int, waiting boolean", "append", "EventTimeTimeout")
+
+
+def assign_or_error(rows: DataFrame, centroids, threshold: float = 0.0) -> DataFrame:
+    """rows (id, v) to (id, cluster, margin, error): the nearest topic, none under the margin threshold, and none, with the reason, for a vector that
+    cannot be compared. No row fails the others."""
+    width = centroids.shape[1]
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    error = F.when(F.col("v").isNull() | (F.size("v") == 0), "absent").when(F.size("v") != width, "width").when(odd, "not finite")
+    marked = rows.select("id", "v", error.alias("error"))
+    found = assign_nearest(marked.where("error IS NULL"), centroids)
+    good = found.select("id", F.when(F.col("margin") >= threshold - 1e-9, F.col("cluster")).alias("cluster"), "margin", "error")
+    return good.unionByName(marked.where("error IS NOT NULL").select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("margin"), "error"))
 
 
 def windowed_kpis(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -12,7 +12,7 @@ from tessera.operators import relational as R
 from tessera.operators import retrieval as D
 from tessera.operators import topics as P
 from tessera.operators import vectors as V
-from tessera.plans.text_queries import tokenized
+from tessera.operators.lexical import tokenized
 from tessera.plans.vector_queries import elbow, k_grid
 from tessera.sources import tables as S
 from tessera.streaming import jobs as K
@@ -68,7 +68,7 @@ def test_stem(spark, word, stem):
 
 
 def test_tokens_keep_repeats_and_grams(spark):
-    out = tokenized(spark.createDataFrame([(1, "налог и налог как-то в 5")], "doc_id long, text string"))
+    out = tokenized(spark.createDataFrame([(1, "налог и налог как-то в 5")], "doc_id long, text string"), "doc_id")
     tf = {r.term: r.tf for r in out.collect()}
     assert tf["налог"] == 2 and tf["нал"] == 2 and "и" not in tf and "5" in tf
 
