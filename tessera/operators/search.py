@@ -83,26 +83,26 @@ def run_variants(rows: DataFrame, matched: int, ks: list[int], seed: int = 42, n
     train = rows.where("split = 'train'")
     made = []
     for name, (center, split) in VARIANTS.items():
-        own = saved(V.centered_by(rows, train, center) if center else rows.withColumn("v", V.l2_normalize(F.col("v"))), "variant")
-        strata = _strata(own.where("split = 'train'"), split)
+        own = V.centered_by(rows, train, center) if center else rows.withColumn("v", V.l2_normalize(F.col("v")))
+        strata = _strata(train, split)
+        which = lambda values: reduce(lambda a, c: a & F.col(c).eqNullSafe(values[c]), values, F.lit(True))
+        number = F.coalesce(*[F.when(which(values), i) for i, (values, _) in enumerate(strata)])  # null: a stratum that training rows lack
+        own = saved(own.withColumn("stratum", number), "variant")
+        here = own.where("split = 'train'")
+        size = {r["stratum"]: r["count"] for r in here.groupBy("stratum").count().collect()}  # a row a stratum
         true = [max(n, 2) for _, n in strata]
-        regimes = {"true_k": true, "selected_k": []}
-        if sum(true) != matched:
-            regimes["matched"] = _shared_clusters(true, matched)
+        regimes = {"true_k": true} | ({"matched": _shared_clusters(true, matched)} if sum(true) != matched else {})
+        grids = [[k for k in ks if k < size[i]] or [1] for i in range(len(strata))]
+        wanted = {i: sorted({min(k, size[i]) for k in (*grids[i], *(of[i] for of in regimes.values()))}) for i in range(len(strata))}
+        fits = V.kmeans_strata(here.select("id", "v", "stratum"), wanted, seed, n_init)
+        score = lambda i, k: V.internal_scores(V.assign_nearest(here.where(F.col("stratum") == i), fits[i, k][0]).select("id", "v", "cluster", "cost")).first()["silhouette"]
+        regimes["selected_k"] = [own_ks[0] if len(own_ks) == 1 else max(own_ks, key=lambda k: (score(i, k), -k)) for i, own_ks in enumerate(grids)]
         found = []
-        for i, (values, _) in enumerate(strata):
-            here = reduce(lambda d, c, values=values: d.where(F.col(c).eqNullSafe(values[c])), values, own)
-            size = here.where("split = 'train'").count()
-            grid = [k for k in ks if k < size]
-            wanted = sorted({min(k, size) for k in (*grid, true[i], *([regimes["matched"][i]] if "matched" in regimes else []))})
-            fits = V.kmeans_best(here.where("split = 'train'").select("id", "v"), wanted, seed, n_init)
-            silhouettes = [(-V.internal_scores(V.assign_nearest(here.where("split = 'train'"), fits[k][0]).select("id", "v", "cluster", "cost")).first()["silhouette"], k) for k in grid]
-            regimes["selected_k"].append(min(silhouettes)[1] if silhouettes else min(2, size))
-            for regime, of in regimes.items():
-                k = min(of[i], size)
-                labelled = V.assign_nearest(here.where("split = 'test'"), fits[k][0] if k in fits else V.kmeans_best(here.where("split = 'train'").select("id", "v"), [k], seed, n_init)[k][0])
+        for regime, of in regimes.items():
+            for i in range(len(strata)):
+                labelled = V.assign_nearest(own.where((F.col("split") == "test") & (F.col("stratum") == i)), fits[i, min(of[i], size[i])][0])
                 found.append(labelled.select(F.lit(regime).alias("regime"), "topic", F.concat_ws(":", F.lit(str(i)), F.col("cluster").cast("string")).alias("cluster")))
-        scores = V.contingency_scores(reduce(DataFrame.unionByName, found), "topic", "cluster", "regime").collect()  # a row a regime
+        scores = V.contingency_scores(saved(reduce(DataFrame.unionByName, found), "variant-labels"), "topic", "cluster", "regime").collect()  # a row a regime
         made += [(name, r["regime"], len(strata), sum(regimes[r["regime"]]), float(r["ari"]), float(r["purity"])) for r in scores]
     at_true = [(round(r[4], 6), -r[2], r[0]) for r in made if r[1] == "true_k"]
     winner = max(at_true, key=lambda x: x[:2])[2] if at_true else ""

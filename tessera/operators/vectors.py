@@ -98,25 +98,29 @@ def assign_nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return _blocks(rows, per_block, [("cluster", T.IntegerType()), ("cost", T.DoubleType()), ("margin", T.DoubleType())])
 
 
-def _sums(rows: DataFrame, models: list[np.ndarray]) -> list[list]:
-    """Of each model, per cluster: (sum, size, cost). One pass over rows for all models, summed inside each partition first."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+def _sums(rows: DataFrame, models: list[np.ndarray], of: list[int] | None = None) -> list[list]:
+    """Of each model, per cluster: (sum, size, cost). One pass over rows for all models, summed inside each partition first.
+    of: the stratum of each model, which sees the rows with that value in their column stratum alone."""
+    shared = rows.sparkSession.sparkContext.broadcast((models, of))
 
     def run(batches):
-        models = shared.value
+        models, of = shared.value
         total = [np.zeros((len(c), c.shape[1] + 2)) for c in models]  # sum, size, cost
         for batch in batches:
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             for a in range(0, len(v), BLOCK):
                 x = v[a : a + BLOCK]
-                for t, c in zip(total, models, strict=True):
-                    dist = squared_distances(x, c)
-                    best = dist.argmin(1)
-                    t += (best == np.arange(len(c))[:, None]) @ np.column_stack([x, np.ones(len(x)), dist.min(1)])
+                own = batch.column("stratum").to_numpy()[a : a + BLOCK] if of else None
+                for i, (t, c) in enumerate(zip(total, models, strict=True)):
+                    y = x[own == of[i]] if of else x
+                    if len(y):
+                        dist = squared_distances(y, c)
+                        best = dist.argmin(1)
+                        t += (best == np.arange(len(c))[:, None]) @ np.column_stack([y, np.ones(len(y)), dist.min(1)])
         flat = [(m, i, row.tolist()) for m, t in enumerate(total) for i, row in enumerate(t) if row[-2]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True) if flat else ([], [], []), (pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True)], ["model", "cluster", "total"])
 
-    part = rows.select("v").mapInArrow(run, "model int, cluster int, total array<double>")
+    part = rows.select("v", *(["stratum"] if of else [])).mapInArrow(run, "model int, cluster int, total array<double>")
     flat = part.select("model", "cluster", F.posexplode("total").alias("p", "x")).groupBy("model", "cluster", "p").agg(F.sum("x").alias("x"))
     out: list[list] = [[] for _ in models]
     for r in flat.groupBy("model", "cluster").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("t")).collect():  # models x k rows
@@ -125,27 +129,28 @@ def _sums(rows: DataFrame, models: list[np.ndarray]) -> list[list]:
     return out
 
 
-def lloyd(rows: DataFrame, starts: list[np.ndarray], tol: float = 1e-4, max_iter: int = 300) -> list[tuple[np.ndarray, float, int]]:
-    """(centroids, inertia, steps) from each start, k may differ. A driver loop over k x d sums; all starts that still move
+def lloyd(rows: DataFrame, starts: list[np.ndarray], tol: float = 1e-4, max_iter: int = 300, of: list[int] | None = None) -> list[tuple[np.ndarray, float, int]]:
+    """(centroids, inertia, steps) from each start, k may differ, and so may the stratum (of). A driver loop over k x d sums; all starts that still move
     share each pass over rows; empty clusters move to the costliest rows."""
     models, steps = [np.array(c, np.float64) for c in starts], [0] * len(starts)
     moving = list(range(len(models)))
     for _ in range(max_iter):
         still = []
-        for i, sums in zip(moving, _sums(rows, [models[i] for i in moving]), strict=True):
+        for i, sums in zip(moving, _sums(rows, [models[i] for i in moving], [of[i] for i in moving] if of else None), strict=True):
             c, new = models[i], models[i].copy()
             for j, total, size, _cost in sums:
                 new[j] = total / size
             empty = sorted(set(range(len(c))) - {j for j, *_ in sums})
             if empty:
-                new[empty] = revive(rows, c, len(empty))
+                worst = revive(rows.where(F.col("stratum") == of[i]) if of else rows, c, len(empty))
+                new[empty[: len(worst)]] = worst
             models[i], steps[i] = new, steps[i] + 1
             if np.sqrt(((new - c) ** 2).sum(1)).max() > tol:
                 still.append(i)
         moving = still
         if not moving:
             break
-    return [(c, float(sum(s[3] for s in sums)), n) for c, sums, n in zip(models, _sums(rows, models), steps, strict=True)]
+    return [(c, float(sum(s[3] for s in sums)), n) for c, sums, n in zip(models, _sums(rows, models, of), steps, strict=True)]
 
 
 def kmeans_fit(rows: DataFrame, initial: np.ndarray, tol: float = 1e-4, max_iter: int = 300) -> tuple[np.ndarray, float, int]:
@@ -161,16 +166,28 @@ def kmeans_best(rows: DataFrame, ks: list[int], seed: int, n_init: int = 10) ->
     return {k: min(fits[i * len(starts) : (i + 1) * len(starts)], key=lambda f: f[1]) for i, k in enumerate(ks)}
 
 
+def kmeans_strata(rows: DataFrame, ks: dict[int, list[int]], seed: int, n_init: int = 10) -> dict[tuple[int, int], tuple[np.ndarray, float, int]]:
+    """kmeans_best for each stratum (rows have an int column stratum) and its k, by (stratum, k). The fits of all strata share each pass."""
+    drawn = [(s, seed * n_init + i) for s in ks for i in range(n_init)]
+    starts = kmeanspp_starts(rows, max(k for own in ks.values() for k in own), [i for _, i in drawn], [s for s, _ in drawn])
+    wanted = [(s, k, start[:k]) for (s, _), start in zip(drawn, starts, strict=True) for k in ks[s]]
+    best: dict[tuple[int, int], tuple[np.ndarray, float, int]] = {}
+    for (s, k, _), fit in zip(wanted, lloyd(rows, [w[2] for w in wanted], of=[w[0] for w in wanted]), strict=True):
+        if (s, k) not in best or fit[1] < best[s, k][1]:
+            best[s, k] = fit
+    return best
+
+
 def revive(rows: DataFrame, centroids: np.ndarray, n: int) -> np.ndarray:
     """The n costliest rows, for clusters that lost all theirs."""
     worst = assign_nearest(rows, centroids).orderBy(F.desc("cost"), "id").limit(n).select("v").collect()
     return np.array([r["v"] for r in worst])
 
 
-def kmeanspp_starts(rows: DataFrame, k: int, seeds: list[int]) -> list[np.ndarray]:
+def kmeanspp_starts(rows: DataFrame, k: int, seeds: list[int], of: list[int] | None = None) -> list[np.ndarray]:
     """k centroids for each seed (fewer where there are fewer rows that differ), drawn in turn with chance in proportion to the
     squared distance to the nearest so far: the row with the least -log(u) / weight, u from a hash of id and seed. One pass a draw,
-    in which each task names its own least row for each seed."""
+    in which each task names its own least row for each seed. of: the stratum that each seed draws from."""
     u = lambda seed, s: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
     starts: list[np.ndarray] = [np.zeros((0, 0))] * len(seeds)
     for s in range(k):
@@ -183,18 +200,18 @@ def kmeanspp_starts(rows: DataFrame, k: int, seeds: list[int]) -> list[np.ndarra
                 draws = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 ids = batch.column("id").to_numpy()
                 for i, c in enumerate(shared.value):
-                    key = draws[:, i]
+                    key = np.where(batch.column("stratum").to_numpy() == of[i], draws[:, i], np.inf) if of else draws[:, i]
                     if len(c):
                         cost = squared_distances(v, c).min(1)
                         cost[cost < 1e-12] = 0
                         with np.errstate(divide="ignore"):
-                            key = np.where(cost > 0, -np.log(key) / cost, np.inf)
+                            key = np.where((cost > 0) & np.isfinite(key), -np.log(key) / np.where(cost > 0, cost, 1), np.inf)
                     at = np.lexsort((ids, key))[0]
                     if np.isfinite(key[at]):
                         least[i] = min(least.get(i, (np.inf, 0, None)), (float(key[at]), int(ids[at]), v[at].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), *(pa.array([x[j] for x in least.values()], t) for j, t in enumerate((pa.float64(), pa.int64(), pa.list_(pa.float64()))))], ["start", "key", "id", "v"])
 
-        drawn = rows.select("id", "v", F.array(*[u(seed, s) for seed in seeds]).alias("u")).mapInArrow(run, "start int, key double, id long, v array<double>")
+        drawn = rows.select("id", "v", *(["stratum"] if of else []), F.array(*[u(seed, s) for seed in seeds]).alias("u")).mapInArrow(run, "start int, key double, id long, v array<double>")
         for r in drawn.groupBy("start").agg(F.min(F.struct("key", "id", "v")).alias("m")).collect():  # a row for each seed
             new = np.array([r["m"]["v"]], np.float64)
             starts[r["start"]] = np.vstack([starts[r["start"]], new]) if len(starts[r["start"]]) else new

@@ -218,7 +218,7 @@ def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.add()
 def run_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six ways to centre or split before clustering, in up to three regimes of k, with the winner marked."""
-    results, winner = X.run_variants(_with_facts(spark, sf_dir), 12, [2, 4, 8], n_init=1)
+    results, winner = X.run_variants(_with_facts(spark, sf_dir), 12, [2, 4], n_init=2)
     return results.withColumn("winner", F.col("variant") == winner)
 
 
