@@ -1,6 +1,10 @@
 """From raw documents to packed training sequences: each stage works on what the one before it kept.
 
 Every stage but the last returns the columns of documents. There is no SQL for it: SQL cannot tokenize.
+
+Defined results, for all stages: columns beyond those of documents are dropped; null and repeated doc_ids stay rows of their own; an empty table gives no
+rows; texts of any length are judged, cleaned and packed whole. Null, empty and blank texts go with the first stage, as their counts fail its rules.
+Of equal or near-equal lines and documents the one of the smallest doc_id stays (null first, ties by a hash of the text).
 """
 
 from __future__ import annotations
