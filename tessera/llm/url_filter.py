@@ -27,7 +27,7 @@ from tessera.llm.shared import broadcast_if_small, unused
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 MIN_BAD, MIN_GAIN, Z = 5, 0.5, 3.0
-BAD, ANY_HOST = "bad", "host"  # no token of a url is equal to one of these
+ANY_HOST = "host"  # no token of a url is equal to it
 INDEX_ROWS = 1_000_000  # largest inverted index that is broadcast
 
 
@@ -73,31 +73,36 @@ def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_gain: float = MIN_GAIN
 
     Suffixes, labels and parts of a host imply one another, and with an absolute support every subset of them would be
     frequent. So each url gives one basket per token of its host, and one for any host: the count of a set that holds one of these
-    is its count of urls, and sets grow with the number of host tokens."""
-    known = labelled.where("bad IS NOT NULL")
-    urls, bad = known.agg(F.count("*"), F.count_if("bad")).first()
-    if bad < min_bad:
+    is its count of urls, and sets grow with the number of host tokens. Sets are mined from bad urls alone, which a rule must hold in; the
+    urls that hold a set are then counted over all labelled ones."""
+    known = labelled.where("bad IS NOT NULL").groupBy("tokens").agg(F.count("*").alias("urls"), F.count_if("bad").alias("bad"))
+    urls, bad = known.agg(F.sum("urls"), F.sum("bad")).first()
+    if (bad or 0) < min_bad:
         return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, support double")
     host = F.explode(F.array_append(F.filter("tokens", _of_host), ANY_HOST)).alias("host")
-    baskets = known.select("bad", F.filter("tokens", lambda x: ~_of_host(x)).alias("rest"), host)
-    items = F.array_append("rest", F.col("host"))
-    baskets = baskets.select(F.when(F.col("bad"), F.array_append(items, BAD)).otherwise(items).alias("items"))
+    baskets = labelled.where("bad").select(F.filter("tokens", lambda x: ~_of_host(x)).alias("rest"), host).select(F.array_append("rest", F.col("host")).alias("items"))
     rows, base = baskets.count(), bad / urls
     least = base + min_gain * (1 - base)
-    model = FPGrowth(itemsCol="items", minSupport=(min_bad - 0.5) / rows, minConfidence=least * (1 - 1e-12)).fit(baskets)
-    p, n = F.col("confidence"), F.col("support") * rows / F.col("confidence")
+    found = FPGrowth(itemsCol="items", minSupport=(min_bad - 0.5) / rows).fit(baskets).freqItemsets.where(F.exists("items", _of_host))
+    sets = found.select(F.array_sort(F.array_remove("items", ANY_HOST)).alias("antecedent")).where(F.size("antecedent") > 0).select(F.xxhash64("antecedent").alias("rule_id"), "antecedent")
+    counts = held(known, sets).groupBy("rule_id").agg(F.sum("urls").alias("n"), F.sum("bad").alias("hits"))
+    p, n = F.col("hits") / F.col("n"), F.col("n")
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & F.exists("antecedent", _of_host) & (low > base))
-    rules = rules.withColumn("antecedent", F.array_sort(F.array_remove("antecedent", ANY_HOST))).where(F.size("antecedent") > 0)
-    return rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", (p / base).alias("lift"), (F.col("support") * rows / urls).alias("support"))
+    rules = sets.join(counts, "rule_id").where((F.col("hits") >= min_bad) & (p >= least * (1 - 1e-12)) & (low > base))
+    return rules.select("rule_id", "antecedent", p.alias("confidence"), (p / base).alias("lift"), (F.col("hits") / urls).alias("support"))
 
 
-def match(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """baskets (tokens), distinct -> those that satisfy at least one rule, through token -> rule postings."""
+def held(baskets: DataFrame, rules: DataFrame) -> DataFrame:
+    """baskets (tokens and others, distinct by tokens) with each rule (rule_id, antecedent) whose tokens they all hold, through token -> rule postings."""
     index = rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
     hits = baskets.select("tokens", F.explode("tokens").alias("token")).join(broadcast_if_small(index, INDEX_ROWS), "token")
     full = hits.groupBy("tokens", "rule_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
-    return full.select("tokens").distinct()
+    return baskets.join(full.select("tokens", "rule_id"), "tokens")
+
+
+def match(baskets: DataFrame, rules: DataFrame) -> DataFrame:
+    """baskets (tokens), distinct -> those that satisfy at least one rule."""
+    return held(baskets, rules).select("tokens").distinct()
 
 
 def judge(pages: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES) -> DataFrame:

@@ -565,6 +565,47 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), known).count() == 0
 
 
+def plain_mined(known):
+    """The antecedents, at most one token of the host beside others, that hold in enough bad urls with enough confidence."""
+    from itertools import combinations
+
+    bads, n_of = sum(b for _, b in known), {}
+    for tokens, bad in known:
+        of_host = [t for t in tokens if t.startswith(("host=", "label="))]
+        rest = [t for t in tokens if t not in of_host]
+        for k in range(len(rest) + 1):
+            for some in combinations(rest, k):
+                for h in [[], *[[x] for x in of_host]]:
+                    if some or h:
+                        at = n_of.setdefault(tuple(sorted([*some, *h])), [0, 0])
+                        at[0] += 1
+                        at[1] += bad
+    base, z, out = bads / len(known), url_filter.Z, set()
+    for s, (n, b) in n_of.items():
+        p = b / n
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        if b >= url_filter.MIN_BAD and p >= base + url_filter.MIN_GAIN * (1 - base) and low > base:
+            out.add(s)
+    return out
+
+
+def test_mined_url_rules_equal_plain_counting(spark):
+    rng = random.Random(21)
+    known = []
+    for _ in range(900):
+        host, segs = rng.choice(("spam-win", "casino", "news", "shop", "a.b")) + rng.choice((".biz", ".org", ".x.com")), [rng.choice(("in", "out", "win", "7")) for _ in range(rng.randrange(0, 3))]
+        bad = rng.random() < (0.9 if "casino" in host and "win" in segs or host == "spam-win.biz" else 0.15)
+        known.append((f"http://{host}/" + "/".join(segs) + rng.choice(("", "?id=3", "?q=1&id=2")), bad))
+    labelled = spark.createDataFrame([*known, (known[0][0], None)], "url string, bad boolean")
+    tokens = url_filter.tokens_of(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    rows = labelled.withColumn("tokens", tokens)
+    want = plain_mined([(tuple(r.tokens), r.bad) for r in rows.where("bad IS NOT NULL").collect()])
+    assert {tuple(r.antecedent) for r in url_filter.mine(rows).collect()} == want and len(want) > 3
+    pages = spark.createDataFrame([(u,) for u, _ in known], "url string")
+    judged = url_filter.judge(pages, labelled, rules=(("allow", "nowhere.test", "/"),)).withColumn("t", tokens).collect()
+    assert all((r.verdict == "block") == any(set(s) <= set(r.t) for s in want) for r in judged)
+
+
 def test_url_rules_of_rare_bad_urls(spark):
     known = [(f"http://site{i % 300}.org/en/{i}", i % 7 < 2) for i in range(3000)]
     known += [(f"http://www.spam.biz/a/{i}", True) for i in range(10)] + [(f"http://casino-x{i}.site{i}.info/{i}", True) for i in range(10)]
