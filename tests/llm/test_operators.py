@@ -204,12 +204,27 @@ def test_token_files(spark, docs, rows, ids, tmp_path):
     assert token_ids.index(spark, f"{path}-none").count() == 0
 
 
-def test_token_files_carry_indexes(spark, docs, tmp_path):
+def test_token_files_carry_indexes(spark, tmp_path, monkeypatch):
     import pyarrow.orc as orc
 
-    token_ids.write_ids(docs, f"file://{tmp_path}/ids", partitions=1)
+    monkeypatch.setattr(token_ids, "STRIPE_BYTES", 1 << 14)
+    rng = random.Random(9)
+    rows = [(2 * i, " ".join(rng.choice(VOCABULARY) for _ in range(20))) for i in range(12_000)]
+    token_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ids", partitions=1)
     f = orc.ORCFile(str(next((tmp_path / "ids").glob("part-*.orc"))))
-    assert f.nstripes >= 1 and f.row_index_stride == token_ids.STRIDE
+    assert f.nstripes >= 2 and f.row_index_stride == token_ids.STRIDE
+    assert b"doc_id" in f.read_stripe(1).schema.to_string().encode() and f.read_stripe(1).column("doc_id")[0].as_py() > f.read_stripe(0).column("doc_id")[-1].as_py()
+
+    def read(doc_id):
+        """(rows found, rows that the scan hands on)"""
+        df = token_ids.read_ids(spark, f"file://{tmp_path}/ids").where(F.col("doc_id") == doc_id)
+        n = len(df.collect())
+        return n, df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    n, seen = read(rows[7000][0])
+    assert n == 1 and seen <= token_ids.STRIDE  # one row group of the twelve
+    absent = [read(rows[k][0] + 1) for k in (500, 3500, 7500, 11500)]  # inside the bounds of a row group, so only its Bloom filter can tell
+    assert [n for n, _ in absent] == [0] * 4 and sum(seen == 0 for _, seen in absent) >= 3
 
 
 def test_chat_round_trip(spark):
