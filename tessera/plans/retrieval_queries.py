@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
+from tessera.operators.audit import holding
 from tessera.operators.relational import owned_rows
 from tessera.plans.registry import Registry, table
 from tessera.sources.tables import saved
@@ -217,8 +218,8 @@ def merge_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.add(f"""WITH {_TERMS}, {_BM25}, e AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT e.qid, min(rank) AS best FROM e LEFT JOIN lexical l ON l.qid = e.qid AND l.doc_id = e.doc_id AND l.rank <= 10 GROUP BY e.qid)
 SELECT k, round(avg(CASE WHEN best <= k THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM m, (VALUES (1), (3), (10)) v(k) GROUP BY k""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = R.query_side(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
-    expected = table(spark, sf_dir, "documents").join(b, F.expr("contains(text, passage)")).select("qid", "doc_id")
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("passage"))
+    expected = holding(table(spark, sf_dir, "documents").select("doc_id", "text"), passages).withColumnRenamed("item", "qid")
     return R.retrieval_eval(_lexical(spark, sf_dir, 10).select("qid", F.col("chunk_id").alias("doc_id"), "rank"), expected, [1, 3, 10])
 
 

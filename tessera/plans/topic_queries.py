@@ -156,16 +156,10 @@ def topic_model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add("""SELECT lang, count(*) AS n, count(DISTINCT md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS distinct_texts, count(*) FILTER (doc_id IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))) AS overlapping FROM documents GROUP BY lang""")
 def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal normalized texts, and documents that hold a passage of another corpus word for word: passages are found by
-    an equi-join on their first words, then compared."""
+    """Equal normalized texts, and documents that hold a passage of another corpus word for word."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("passage"), F.substring("text", 1, 24).alias("head"))
-    sizes = [r[0] for r in b.where("head IS NOT NULL").select(F.length("head")).distinct().collect()]  # 24 and what shorter passages have
-    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substr("text", i, F.lit(n)))
-    windows = [of_size(n) for n in sizes]
-    heads = F.array_distinct(F.flatten(F.array(*windows))) if windows else F.array().cast("array<string>")
-    starts = d.select("doc_id", "text", F.explode(heads).alias("head"))
-    hit = starts.join(b, "head").where(F.expr("contains(text, passage)")).select("doc_id").distinct().withColumn("_o", F.lit(1))
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("passage"))
+    hit = A.holding(d.select("doc_id", "text"), passages).select("doc_id").distinct().withColumn("_o", F.lit(1))
     return d.join(hit, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.md5(J.prefix_key(F.col("text"), 1 << 30))).alias("distinct_texts"), F.count("_o").alias("overlapping"))
 
 
