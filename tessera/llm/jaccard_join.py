@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import blocks, mix, packed, shingles, unpacked, words
+from tessera.llm.blocks import blocks, give_back, mix, packed, shingles, unpacked, words
 from tessera.llm.components import components
 from tessera.llm.shared import doc_key, doc_tie, looked_up, unused, written
 
@@ -227,6 +227,7 @@ def met_sets(index: DataFrame) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
+        give_back()
         sizes = table.column("size").to_pylist()
         parts = sum(sizes) // PART + 1
         return pa.concat_tables([part(kind, bucket, table, sizes, p, parts) for p in range(parts)])

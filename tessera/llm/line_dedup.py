@@ -37,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import Texts, Words, blocks, mix, packed, parity, unpacked, words
+from tessera.llm.blocks import Texts, Words, blocks, give_back, mix, packed, parity, unpacked, words
 from tessera.llm.jaccard_join import SKETCH, Likeness, verified
 from tessera.llm.shared import doc_key, doc_tie, looked_up, unused, written
 
 _U = np.uint64
 LIKE = Likeness(1, 8, 10)
-ORDERED = 500_000
-COUNTED = 1_500_000  # word hashes a task holds before it sums them
+ORDERED = 200_000
+COUNTED = 1_000_000  # word hashes a task holds before it sums them
 WORD_BITS, MOST_WORD_BITS = 10, 22
 WORD_BYTES = 64 << 20  # texts whose words one part of the vocabulary sums
 CHUNK = 1 << 19  # lines sorted together
@@ -62,15 +62,15 @@ PREFIX, EQUAL, GONE, SLICE = 0, 1, 2, 3  # kinds of rows
 class Limits:
     """What tasks hold, and what is looked at first; they change the work, never the result."""
 
-    seen: int = 60_000  # distinct lines a task remembers, so as to post equal lines once
-    postings: int = 200_000  # postings a task holds before it hands them on
-    bucket: int = 250_000  # postings meant for one bucket
+    seen: int = 30_000  # distinct lines a task remembers, so as to post equal lines once
+    postings: int = 150_000  # postings a task holds before it hands them on
+    bucket: int = 150_000  # postings meant for one bucket
     hot: int = 1_000_000  # occurrences of a word beyond which its postings are dealt in slices
     quota: int = 256  # candidates a bucket names for a line and token
     few: int = 2  # those it names where the nearest is all but sure
     large: int = 64  # postings of a token beyond which neighbours are looked at first
     neighbours: int = 16
-    pairs: int = 400_000  # pairs a bucket looks at together
+    pairs: int = 150_000  # pairs a bucket looks at together
 
 
 LIMITS = Limits()
@@ -463,6 +463,7 @@ def candidates(posted: DataFrame, like: Likeness = LIKE, open_: np.ndarray | Non
     names = [x.split()[0] for x in POSTED.split(", ")]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         kind = key[0].as_py()
         sizes = table.column("size").to_pylist()
         types = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, *[np.uint64] * 4)

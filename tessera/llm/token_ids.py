@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import give_back
 from tessera.llm.shared import broadcast_if_small, new_path, written
 
 END_ID = 2
-KNOWN_WORDS = 1_500_000  # words a worker remembers before it starts anew
+KNOWN_WORDS = 400_000  # words a worker remembers before it starts anew
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 PARTS = 1_000_000  # largest table of totals that is broadcast
@@ -50,13 +51,19 @@ class Encoder:
 
     def piece(self, p: str) -> bytes:
         mapped = p if p.isascii() else "".join(self.letters[chr(b)] for b in p.encode())
-        ids = self.pieces[p] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+
+    def known_piece(self, p: str) -> bytes:
+        ids = self.pieces[p] = self.piece(p)
         return ids
 
     def word(self, w: str) -> bytes:
         if _PLAIN(w):
-            got = self.pieces.get
-            ids = b"".join([got(p) or self.piece(p) for p in _PIECES(w.lower())])
+            got, parts = self.pieces.get, _PIECES(w.lower())
+            if len(parts) == 1:  # remembered as a word
+                ids = got(parts[0]) or self.piece(parts[0])
+            else:
+                ids = b"".join([got(p) or self.known_piece(p) for p in parts])
         else:
             ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         self.words[w] = ids
@@ -107,6 +114,7 @@ def encode_column(column: pa.Array, tokenizer: str) -> Iterator[tuple[int, list[
             first, out, size = i + 1, [], 0
     if out:
         yield first, out
+    give_back()
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, partitions: int | None = None) -> None:
