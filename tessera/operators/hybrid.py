@@ -59,14 +59,15 @@ def retrieve(questions: DataFrame, variants: list[Column], chunks: DataFrame, ve
     own = questions.select("qid", "scope", F.col("v").alias("q"))
     by_chunk = None if scope is None else scope.join(chunks.select("doc_id", F.col("chunk_id").alias("id")), "doc_id").select("scope", "id")
     body = chunks.select("chunk_id", "doc_id", "idx", "page", "name", "text")
-    with_text = vectors.join(body.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col("chunk_id").alias("id")), "id", "left_semi")
+    with_text = saved(vectors.join(body.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col("chunk_id").alias("id")), "id", "left_semi"), "vectors-with-text")
 
-    near = R.knn_search(with_text, own, pool, scope=by_chunk).withColumnRenamed("id", "chunk_id").join(body, "chunk_id")
+    texts_of = lambda found: found.join(R.only(body, found, "chunk_id"), "chunk_id")  # noqa: E731  of a stored list
+    near = texts_of(saved(R.knn_search(with_text, own, pool, scope=by_chunk).withColumnRenamed("id", "chunk_id"), "nearest"))
     ref = questions.select("qid", T.extract_article_ref(T.normalize_query(F.col("text"))).alias("_ref"))
     near = near.join(R.query_side(ref), "qid")
     vector = R.boost_hits(near, F.coalesce(T.contains_article_ref(F.col("text"), F.col("_ref")) & F.col("_ref").isNotNull(), F.lit(False)))
     vector = saved(vector.select("qid", "chunk_id", "doc_id", "idx", "page", "text", "name", "distance", "rank"), "vector-list")
-    lexical = lexical_search(index, body, asked.select("qid", "scope", "text"), pool, scope).join(body, "chunk_id")
+    lexical = texts_of(saved(lexical_search(index, body, asked.select("qid", "scope", "text"), pool, scope), "lexical-hits"))
     lexical = saved(lexical.select("qid", "chunk_id", "doc_id", "idx", "page", "text", "name", "score", "rank"), "lexical-list")
 
     key = R.candidate_key(F.col("doc_id"), F.col("idx"), F.col("chunk_id"), F.col("page"), F.col("text"))
@@ -77,7 +78,7 @@ def retrieve(questions: DataFrame, variants: list[Column], chunks: DataFrame, ve
     fused = R.rrf_fuse(both).join(facts, ["qid", "key"]).withColumnRenamed("methods", "method")
     fused = saved(fused.select("qid", "key", "chunk_id", "doc_id", "method", "rrf", "distance", "rank"), "fused-list")
 
-    rows = R.threshold_with_floor(fused, threshold).join(body.select("chunk_id", "name", "text"), "chunk_id").join(R.query_side(questions.select("qid", F.col("text").alias("asked"))), "qid")
+    rows = R.threshold_with_floor(fused, threshold).join(R.only(body.select("chunk_id", "name", "text"), fused, "chunk_id"), "chunk_id").join(R.query_side(questions.select("qid", F.col("text").alias("asked"))), "qid")
     wanted, here = _words(F.col("asked")), _words(F.col("text"))
     share = lambda xs: F.size(F.array_intersect(wanted, xs)) / F.greatest(F.size(wanted), F.lit(1))
     said, body_ref = T.normalize_query(F.col("text")), T.extract_article_ref(T.normalize_query(F.col("asked")))
