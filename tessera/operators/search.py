@@ -77,33 +77,46 @@ def run_variants(rows: DataFrame, matched: int, ks: list[int], seed: int = 42, n
     """rows (id, v, topic, language, origin, split) to RESULTS by variant and regime, and the name of the winner.
 
     Regimes: true_k, as many clusters in a stratum as it has topics; selected_k, the k of ks with the best silhouette there; matched, `matched` clusters
-    in all, left out where true_k has that many. Centred vectors are stored once per variant and shared by its regimes; all k of a stratum are
-    fitted together. Group means come from training rows; groups they lack use the mean of all. Test rows are scored over all strata. The winner has the
+    in all, left out where true_k has that many. The vectors of all variants are stored once, and all fits of all variants share their passes. Group means come from training rows; groups they lack use the mean of all. Test rows are scored over all strata. The winner has the
     highest ARI at true_k, rounded to six digits, then the fewest strata."""
     train = rows.where("split = 'train'")
-    made = []
+    ways, parts, true = [], [], []  # (name, first stratum, strata); rows; clusters of each stratum that has as many as topics
     for name, (center, split) in VARIANTS.items():
         own = V.centered_by(rows, train, center) if center else rows.withColumn("v", V.l2_normalize(F.col("v")))
         strata = _strata(train, split)
         which = lambda values: reduce(lambda a, c: a & F.col(c).eqNullSafe(values[c]), values, F.lit(True))
-        number = F.coalesce(*[F.when(which(values), i) for i, (values, _) in enumerate(strata)])  # null: a stratum that training rows lack
-        own = saved(own.withColumn("stratum", number), "variant")
-        here = own.where("split = 'train'")
-        size = {r["stratum"]: r["count"] for r in here.groupBy("stratum").count().collect()}  # a row a stratum
-        true = [max(n, 2) for _, n in strata]
-        regimes = {"true_k": true} | ({"matched": _shared_clusters(true, matched)} if sum(true) != matched else {})
-        grids = [[k for k in ks if k < size[i]] or [1] for i in range(len(strata))]
-        wanted = {i: sorted({min(k, size[i]) for k in (*grids[i], *(of[i] for of in regimes.values()))}) for i in range(len(strata))}
-        fits = V.kmeans_strata(here.select("id", "v", "stratum"), wanted, seed, n_init)
-        score = lambda i, k: V.internal_scores(V.assign_nearest(here.where(F.col("stratum") == i), fits[i, k][0]).select("id", "v", "cluster", "cost")).first()["silhouette"]
-        regimes["selected_k"] = [own_ks[0] if len(own_ks) == 1 else max(own_ks, key=lambda k: (score(i, k), -k)) for i, own_ks in enumerate(grids)]
-        found = []
-        for regime, of in regimes.items():
-            for i in range(len(strata)):
-                labelled = V.assign_nearest(own.where((F.col("split") == "test") & (F.col("stratum") == i)), fits[i, min(of[i], size[i])][0])
-                found.append(labelled.select(F.lit(regime).alias("regime"), "topic", F.concat_ws(":", F.lit(str(i)), F.col("cluster").cast("string")).alias("cluster")))
-        scores = V.contingency_scores(saved(reduce(DataFrame.unionByName, found), "variant-labels"), "topic", "cluster", "regime").collect()  # a row a regime
-        made += [(name, r["regime"], len(strata), sum(regimes[r["regime"]]), float(r["ari"]), float(r["purity"])) for r in scores]
+        number = F.coalesce(*[F.when(which(values), len(true) + i) for i, (values, _) in enumerate(strata)])  # null: a stratum that training rows lack
+        parts.append(own.withColumn("stratum", number).where("stratum IS NOT NULL").select("id", "v", "topic", "split", "stratum"))
+        ways.append((name, len(true), len(strata)))
+        true += [max(n, 2) for _, n in strata]
+    every = saved(reduce(DataFrame.unionByName, parts), "variants")
+    here = every.where("split = 'train'").select("id", "v", "stratum")
+    size = {r["stratum"]: r["count"] for r in here.groupBy("stratum").count().collect()}  # a row a stratum
+    grids = [[k for k in ks if k < size[i]] or [1] for i in range(len(true))]
+    regimes = {}  # clusters of the strata, by variant and regime
+    for name, a, n in ways:
+        own_true = true[a : a + n]
+        regimes |= {(name, "true_k"): own_true} | ({(name, "matched"): _shared_clusters(own_true, matched)} if sum(own_true) != matched else {})
+    wanted = {i: set(grid) for i, grid in enumerate(grids)}
+    first = {name: a for name, a, _ in ways}
+    for (name, _), of in regimes.items():
+        for i, k in enumerate(of, first[name]):
+            wanted[i].add(k)
+    fits = V.kmeans_strata(here, {i: sorted({min(k, size[i]) for k in of}) for i, of in wanted.items()}, seed, n_init)
+    rivals = [(i, k) for i, grid in enumerate(grids) for k in grid if len(grid) > 1]
+    score = dict(zip(rivals, V.silhouettes(here, [fits[x][0] for x in rivals], [i for i, _ in rivals]), strict=True))
+    for name, a, n in ways:
+        regimes[name, "selected_k"] = [grids[i][0] if len(grids[i]) == 1 else max(grids[i], key=lambda k: (score[i, k], -k)) for i in range(a, a + n)]
+    used = sorted({(i, min(k, size[i])) for (name, _), of in regimes.items() for i, k in enumerate(of, first[name])})
+    test = every.where("split = 'test'").select("v", "topic", F.col("stratum").cast("int").alias("stratum"))
+    labelled = saved(V.labels_of(test, [fits[x][0] for x in used], [i for i, _ in used]), "variant-labels")
+    named = [(used.index((i, min(k, size[i]))), name, regime) for (name, regime), of in regimes.items() for i, k in enumerate(of, first[name])]
+    found = labelled.join(F.broadcast(rows.sparkSession.createDataFrame(named, "fit int, variant string, regime string")), "fit")  # a row a fit and regime
+    found = found.select("variant", "regime", "topic", F.concat_ws(":", F.col("stratum").cast("string"), F.col("label").cast("string")).alias("cluster"))
+    scores = V.contingency_scores(found, "topic", "cluster", "variant", "regime").collect()  # a row a variant and regime
+    strata_of = {name: n for name, _, n in ways}
+    made = [(r["variant"], r["regime"], strata_of[r["variant"]], sum(regimes[r["variant"], r["regime"]]), float(r["ari"]), float(r["purity"])) for r in scores]
+    made.sort(key=lambda r: (list(VARIANTS).index(r[0]), r[1]))
     at_true = [(round(r[4], 6), -r[2], r[0]) for r in made if r[1] == "true_k"]
     winner = max(at_true, key=lambda x: x[:2])[2] if at_true else ""
     return rows.sparkSession.createDataFrame(made, RESULTS), winner
