@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import saved
+
 
 def document_id(url: Column, text: Column) -> Column:
     """First 20 hex digits of the SHA-1 of the url, else of the first 2000 characters."""
@@ -113,7 +115,7 @@ def c_tf_idf(rows: DataFrame, top: int, share_groups: float = 0.7, share_docs: f
     tf = n / words of the group; idf = ln(1 + mean group size / n over all groups). Terms used once, in most groups, or in too
     few of the group's documents are left out."""
     per_doc = rows.groupBy("grp", "doc", "term").agg(F.count("*").alias("c"))
-    n = per_doc.groupBy("grp", "term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    n = saved(per_doc.groupBy("grp", "term").agg(F.sum("c").alias("n"), F.count("*").alias("docs")), "group-terms")  # read four times
     size = n.groupBy("grp").agg(F.sum("n").alias("size"))
     docs = per_doc.select("grp", "doc").distinct().groupBy("grp").agg(F.count("*").alias("of"))
     every = n.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("groups"))

@@ -145,7 +145,8 @@ _TERMS = r"t AS (SELECT source AS grp, doc_id AS doc, unnest(list_filter(regexp_
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), F.explode(T.label_tokens(F.col("text"))).alias("term"))
+    """Words with their documents, dealt by document before the texts are split, so that counts by document need no further shuffle."""
+    return table(spark, sf_dir, "documents").select("source", "doc_id", "text").repartition("doc_id").select(F.col("source").alias("grp"), F.col("doc_id").alias("doc"), F.explode(T.label_tokens(F.col("text"))).alias("term"))
 
 
 @reg.add(f"""WITH {_TERMS}, n AS (SELECT grp, term, count(*) AS n, count(DISTINCT doc) AS docs FROM t GROUP BY ALL), s AS (SELECT grp, sum(n) AS size FROM n GROUP BY grp), d AS (SELECT grp, count(DISTINCT doc) AS o FROM t GROUP BY grp), e AS (SELECT term, sum(n) AS total, count(*) AS groups FROM n GROUP BY term),
