@@ -6,7 +6,10 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from tessera.operators import chunking as C
+from tessera.operators import indexing as I
 
 BLOCKS = "doc_id long, page int, ord int, text string"
 
@@ -58,3 +61,14 @@ def test_documents_are_packed_across_batches_and_in_no_groups(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) > 100 and sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_the_index_is_made_in_no_groups(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(I, "saved", lambda df, name, f=I.saved: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, name))[1])
+    docs = spark.createDataFrame([(1, "a", 1, False, "one\n\ntwo"), (2, "b", 1, True, "gone"), (3, "c", 1, False, " ")], "doc_id long, name string, version long, deleted boolean, text string")
+    blocks = docs.select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("ord"), "text")
+    index = I.ChunkIndex(spark, f"file://{tmp_path}/index")
+    index.upsert(0, docs.drop("text"), blocks)
+    assert [(r.doc_id, r.text) for r in index.chunks().collect()] == [(1, "one\n\ntwo")] and {r.doc_id: r.status for r in index.documents().collect()} == {1: "indexed", 2: "deleted", 3: "error"}
+    assert plans and all("FlatMapGroups" not in p for p in plans)
