@@ -7,6 +7,7 @@ row, and a word is encoded once: each worker keeps a bounded table of the words
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from tessera.llm.blocks import give_back
 from tessera.llm.shared import broadcast_if_small, new_path, written
 
 END_ID = 2
-KNOWN_WORDS = 400_000  # words a worker remembers before it starts anew
+KNOWN_WORDS = 150_000  # words, and pieces, of a generation; a worker remembers this and the one before
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 PARTS = 1_000_000  # largest table of totals that is broadcast
@@ -38,6 +39,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -48,10 +53,11 @@ class Encoder:
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, p: str) -> bytes:
         mapped = p if p.isascii() else "".join(self.letters[chr(b)] for b in p.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        return _raw([t.id for t in self.tokenizer.model.tokenize(mapped)])
 
     def known_piece(self, p: str) -> bytes:
         ids = self.pieces[p] = self.piece(p)
@@ -65,7 +71,7 @@ class Encoder:
             else:
                 ids = b"".join([got(p) or self.known_piece(p) for p in parts])
         else:
-            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = _raw(self.tokenizer.encode(w, add_special_tokens=False).ids)
         self.words[w] = ids
         return ids
 
@@ -75,13 +81,21 @@ class Encoder:
         try:
             return b"".join([known[w] for w in split])
         except KeyError:
-            if len(known) > KNOWN_WORDS:
-                known.clear()
+            if len(known) > KNOWN_WORDS:  # words met since stay, those that were not go with the next generation
+                self.older, self.words = known, {}
+                known = self.words
+            if len(self.pieces) > KNOWN_WORDS:
                 self.pieces.clear()
-            ids = []
+            ids, older = [], self.older.get
             for w in split:
                 got = known.get(w)
-                ids.append(self.word(w) if got is None else got)
+                if got is None:
+                    got = older(w)
+                    if got is None:
+                        got = self.word(w)
+                    else:
+                        known[w] = got
+                ids.append(got)
             return b"".join(ids)
 
 
