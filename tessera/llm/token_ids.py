@@ -22,6 +22,7 @@ from tessera.llm.shared import broadcast_if_small, new_path, written
 
 END_ID = 2
 KNOWN_WORDS = 150_000  # words, and pieces, of a generation; a worker remembers this and the one before
+FILE_WORDS = 450_000  # the same where encoding is all that a task does
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 PARTS = 1_000_000  # largest table of totals that is broadcast
@@ -46,10 +47,11 @@ def _raw(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.most = most or KNOWN_WORDS
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -81,10 +83,10 @@ class Encoder:
         try:
             return b"".join([known[w] for w in split])
         except KeyError:
-            if len(known) > KNOWN_WORDS:  # words met since stay, those that were not go with the next generation
+            if len(known) > self.most:  # words met since stay, those that were not go with the next generation
                 self.older, self.words = known, {}
                 known = self.words
-            if len(self.pieces) > KNOWN_WORDS:
+            if len(self.pieces) > self.most:
                 self.pieces.clear()
             ids, older = [], self.older.get
             for w in split:
@@ -102,10 +104,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """One encoder per worker and file, which remembers `most` words from now on."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most or KNOWN_WORDS
     return _encoders[path]
 
 
@@ -115,9 +118,9 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_column(column: pa.Array, tokenizer: str) -> Iterator[tuple[int, list[bytes]]]:
+def encode_column(column: pa.Array, tokenizer: str, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, ids with the end id of each of the next rows), about 4 MB of ids at a time."""
-    enc, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+    enc, end = encoder(tokenizer, most), np.array([END_ID], "<u4").tobytes()
     first, out, size = 0, [], 0
     for i, text in enumerate(column):
         ids = enc.text(text.as_py() or "") + end
@@ -147,7 +150,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, partitio
 
     def run(batches):
         for batch in batches:
-            for first, ids in encode_column(batch.column("text"), tokenizer):
+            for first, ids in encode_column(batch.column("text"), tokenizer, FILE_WORDS):
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(ids)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc_id", "ids"])

@@ -11,3 +11,11 @@ def test_words_that_recur_are_not_encoded_again(monkeypatch):
     got = [enc.text(t) for t in texts]
     assert met.count("often") == 1 and len(enc.words) + len(enc.older) < 20
     assert got == [T.Encoder(T.default_path()).text(t) for t in texts]
+
+
+def test_an_encoder_remembers_as_many_words_as_it_may(monkeypatch):
+    monkeypatch.setattr(T, "KNOWN_WORDS", 3)
+    texts = [f"new{i}x other{i}y" for i in range(30)]
+    few, more = T.Encoder(T.default_path()), T.Encoder(T.default_path(), 100)
+    assert [few.text(t) for t in texts] == [more.text(t) for t in texts]
+    assert len(few.words) + len(few.older) < 20 and len(more.words) == 60
