@@ -36,28 +36,32 @@ def better(a: tuple[float, float], b: tuple[float, float] | None) -> bool:
 def search_projection(rows: DataFrame, drops: list[int], keeps: list[int], ks: list[int], seed: int = 42, n_init: int = 10) -> tuple[DataFrame, tuple[int, int, int]]:
     """rows (id, v, topic, language, split) to the scored grid (GRID) and the chosen (drop, keep, k).
 
-    Axes come from one covariance pass over the training rows; the coordinates along all axes in use are stored once, and a cell is a
-    slice of them. All k of a cell are fitted together. Scores are those of the validation rows by topic and of all others by language. Cells are
+    Axes come from one covariance pass over the training rows. The unit vectors of every cell, a (drop, keep), are stored once, with zeros up to the
+    widest keep, and all k of all cells are fitted together. Scores are those of the validation rows by topic and of all others by language. Cells are
     taken in order of drop, keep, k, and the best so far gives way by `better`."""
-    train = rows.where("split = 'train'")
-    mean, axes, _ = V.pca_fit(train.select("v"))
+    mean, axes, _ = V.pca_fit(rows.where("split = 'train'").select("v"))
     most = min(max(drops) + max(keeps), len(axes))
-    along = saved(V.pca_coordinates(rows, mean, axes[:most]).select("id", "topic", "language", "split", "coordinates"), "coordinates")
+    cells = [(drop, keep) for drop in sorted(set(drops)) for keep in sorted(set(keeps)) if drop + keep <= len(axes)]
+    if not cells:
+        return rows.sparkSession.createDataFrame([], GRID), (0, 0, 0)
+    widest = max(keep for _, keep in cells)
+    along = V.pca_coordinates(rows, mean, axes[:most])
+    unit = lambda drop, keep: F.concat(V.l2_normalize(F.slice("coordinates", drop + 1, keep)), F.array_repeat(F.lit(0.0), widest - keep))
+    of_cell = F.explode(F.array(*[F.struct(F.lit(i).alias("stratum"), unit(*cell).alias("v")) for i, cell in enumerate(cells)])).alias("c")
+    every = saved(along.select("id", "topic", "language", "split", of_cell).select("id", "topic", "language", "split", "c.*"), "projected")
+    ks = sorted(set(ks))
+    fits = V.kmeans_strata(every.where("split = 'train'").select("id", "v", "stratum"), {i: ks for i in range(len(cells))}, seed, n_init)
+    used = [(i, k) for i in range(len(cells)) for k in ks]
+    held = every.where("split <> 'train'").select("v", "topic", "language", "split", "stratum")
+    labelled = saved(V.labels_of(held, [fits[x][0] for x in used], [i for i, _ in used]), "projected-labels")
+    topic = {r["fit"]: r["ari"] for r in V.contingency_scores(labelled.where("split = 'validation'"), "topic", "label", "fit").collect()}  # a row a fit
+    language = {r["fit"]: r["ari"] for r in V.contingency_scores(labelled.where("split <> 'validation'"), "language", "label", "fit").collect()}
     found, best, chosen = [], None, (0, 0, 0)
-    for drop in sorted(drops):
-        for keep in sorted(k for k in keeps if drop + k <= len(axes)):
-            cell = along.withColumn("v", V.l2_normalize(F.slice("coordinates", drop + 1, keep))).drop("coordinates")
-            fits = V.kmeans_best(cell.where("split = 'train'").select("id", "v"), sorted(ks), seed, n_init)
-            held = cell.where("split <> 'train'")
-            labelled = reduce(DataFrame.unionByName, [V.assign_nearest(held, fits[k][0]).select(F.lit(k).alias("k"), "topic", "language", "split", "cluster") for k in sorted(ks)])
-            labelled = saved(labelled, "projected-labels")
-            topic = {r["k"]: r["ari"] for r in V.contingency_scores(labelled.where("split = 'validation'"), "topic", "cluster", "k").collect()}  # a row a k
-            language = {r["k"]: r["ari"] for r in V.contingency_scores(labelled.where("split <> 'validation'"), "language", "cluster", "k").collect()}
-            for k in sorted(ks):
-                score = (topic.get(k, 0.0), language.get(k, 0.0))
-                found.append((drop, keep, k, *map(float, score)))
-                if better(score, best):
-                    best, chosen = score, (drop, keep, k)
+    for n, (i, k) in enumerate(used):
+        score = (topic.get(n, 0.0), language.get(n, 0.0))
+        found.append((*cells[i], k, *map(float, score)))
+        if better(score, best):
+            best, chosen = score, (*cells[i], k)
     return rows.sparkSession.createDataFrame(found, GRID), chosen
 
 

@@ -44,6 +44,18 @@ def test_search_projection_drops_the_language_axis(spark):
     assert chosen == (1, 2, 4) and got[chosen][0] == 1.0 and abs(got[chosen][1]) < 0.05 and got[0, 2, 2][1] > 0.9
 
 
+def test_cells_of_a_projection_share_their_passes(spark):
+    rows = spark.createDataFrame(clouds(np.random.default_rng(1), 256), SCHEMA)
+    alone = {tuple(r)[:3]: tuple(r) for drop in (0, 1) for keep in (1, 2) for r in X.search_projection(rows, [drop], [keep], [2, 4], n_init=1)[0].collect()}
+    fits, starts = [], V.kmeanspp_starts
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(V, "kmeanspp_starts", lambda *a: (fits.append(a), starts(*a))[1])
+        grid, _ = X.search_projection(rows, [0, 1], [1, 2], [2, 4], n_init=1)
+    assert len(fits) == 1
+    for r in grid.collect():
+        assert tuple(r) == pytest.approx(alone[r["drop"], r["keep"], r["k"]])
+
+
 def test_variants(spark):
     rows = spark.createDataFrame(clouds(np.random.default_rng(2), 512), SCHEMA)
     results, winner = X.run_variants(rows, 6, [2], n_init=1)
