@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
-from tessera.llm.shared import written
+from tessera.llm.shared import small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = jaccard_join.Likeness(5, 8, 10)
@@ -26,22 +26,26 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents less repeated lines; those that lose every word go."""
+    small_batches(spark)
     out = line_dedup.dedup_lines(docs).where((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, Jaccard >= 0.8."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs, NEAR).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no passage of the benchmark."""
+    small_batches(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with the checksum of their ids."""
+    small_batches(spark)
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

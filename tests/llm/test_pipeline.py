@@ -3,9 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from tessera.llm.shared import BATCH_BYTES, BATCH_KEY
 from tests.llm.test_operators import SCHEMA, corpus, plain_classes, plain_leaks, plain_line_dedup
 
 
@@ -49,3 +52,21 @@ def test_run_equals_stages_and_empty(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert P.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_stages_hand_over_small_batches(spark):
+    before = spark.conf.get(BATCH_KEY).rstrip("b")
+    rows = spark.range(48, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    docs = rows.limit(2).select(F.lit(1).cast("long").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    try:
+        for stage in (P.lines, P.near_duplicates, P.pack):
+            spark.conf.unset(BATCH_KEY)
+            stage(spark, docs, "")
+            assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 3 * BATCH_BYTES
+    finally:
+        spark.conf.set(BATCH_KEY, before)
