@@ -27,15 +27,15 @@ ENCODED = "part int, doc_id long, own long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str | None = None, words: int | None = None) -> DataFrame:
     """docs (doc_id, text) as ENCODED rows, written: ids as little-endian unsigned 16-bit integers
-    where they fit, 32-bit otherwise; own is their place in the partition."""
+    where they fit, 32-bit otherwise; own is their place in the partition. A worker remembers `words` words."""
     tokenizer = tokenizer or default_path()
 
     def run(batches):
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, ids in encode_column(batch.column("text"), tokenizer):
+            for first, ids in encode_column(batch.column("text"), tokenizer, words):
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 own = done + np.cumsum(n) - n
                 done += int(n.sum())
@@ -75,9 +75,10 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text) as PIECES: the boundary records of the windows, with their ids (unsigned 32-bit)."""
-    rows = encoded(docs, tokenizer)
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """docs (doc_id, text) as PIECES: the boundary records of the windows, with their ids (unsigned 32-bit). Where packing is all that
+    the executors do, more words may be remembered."""
+    rows = encoded(docs, tokenizer, words)
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     placed = rows.join(broadcast_if_small(before, PARTS), "part").select("doc_id", (F.col("base") + F.col("own")).alias("at"), "n", "ids")

@@ -1,5 +1,8 @@
 """What the encoder remembers."""
 
+from pyspark.sql import functions as F
+
+from tessera.llm import packing, queries
 from tessera.llm import token_ids as T
 
 
@@ -19,3 +22,10 @@ def test_an_encoder_remembers_as_many_words_as_it_may(monkeypatch):
     few, more = T.Encoder(T.default_path()), T.Encoder(T.default_path(), 100)
     assert [few.text(t) for t in texts] == [more.text(t) for t in texts]
     assert len(few.words) + len(few.older) < 20 and len(more.words) == 60
+
+
+def test_packing_alone_remembers_as_many_words_as_files_do(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(packing, "encoded", lambda docs, tokenizer=None, words=None: asked.append(words) or docs.select(F.lit(0).alias("part"), "doc_id", F.lit(0).cast("long").alias("own"), F.lit(1).cast("long").alias("n"), F.lit(b"\2\0").alias("ids")))
+    monkeypatch.setattr(queries, "_table", lambda *_: spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert queries.op3_packing(spark, "").count() == 1 and asked == [T.FILE_WORDS]
