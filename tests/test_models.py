@@ -120,6 +120,19 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert A.near_duplicate_audit(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_over_tiles_and_buckets(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(300)}" for _ in range(40)] for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "zz"]) for b in base] + [" ".join(base[0])] * 5 + [None, "", "\u00c9T\u00c9 x", "\u00e9t\u00e9\tx"]
+    docs = spark.createDataFrame([(f"d{i}", "g", t) for i, t in enumerate(texts)] + [("n1", None, texts[0]), ("n2", None, texts[0])], "id string, grp string, text string")
+    whole = A.shingle_tiles(docs.coalesce(1))
+    assert whole.count() == 1 and A.shingle_tiles(docs.coalesce(1), 1).count() <= len(texts) + 2  # sets stay together, no shingle is a row
+    few = {r.id: r.nearest for r in A.nearest_in_group(docs.repartition(4), 0.5, 1, 2).collect()}
+    assert few == {r.id: r.nearest for r in A.nearest_in_group(docs.coalesce(1)).collect()} and len(few) == len(texts) + 2
+    assert all(few[f"d{i}"] == (1.0 if i == 0 or 24 <= i < 29 else 35 / 37) for i in range(29))
+    assert few["n1"] is few["n2"] is few["d29"] is few["d30"] is None and few["d31"] == few["d32"] == 1.0
+
+
 def test_layer_reports(spark):
     rows = [("real", "ru", "a", 1), ("real", "ru", "b", 2), ("real", "tj", "a", 1), ("real", "tj", "b", 1), ("synthetic", "ru", "a", 1), ("synthetic", "ru", "a", 1)]
     out = {(r.level, r.origin, r.language): (r.purity, r.n) for r in A.layer_reports(spark.createDataFrame(rows, "origin string, language string, t string, p int"), "t", "p").collect()}
