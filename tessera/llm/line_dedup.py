@@ -81,12 +81,13 @@ def _lines(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(t.data == 10)
     if not len(w.starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-    text = np.repeat(np.arange(len(t)), np.diff(w.first))
-    number = np.searchsorted(breaks, w.starts) - np.searchsorted(breaks, t.offsets[:-1])[text]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
-    at = np.flatnonzero(new)
-    return text[at], number[at], np.append(at, len(text))
+    heads = np.sort(np.concatenate([t.offsets[:-1], breaks + 1]), kind="stable")  # where lines begin, empty ones included
+    at = np.searchsorted(w.starts, heads)  # the first word of each line, or of the next that has one
+    some = np.flatnonzero(at < np.append(at[1:], len(w.starts)))
+    at, head = at[some], heads[some]
+    text = np.searchsorted(t.offsets, w.starts[at], "right") - 1
+    number = np.searchsorted(breaks, head) - np.searchsorted(breaks, t.offsets[:-1])[text]
+    return text, number, np.append(at, len(w.starts))
 
 
 def _line_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -127,6 +128,15 @@ class Order:
             left, step = left[~found & (rank >= 0)], step + 1
         return out
 
+    def hashes(self, value: np.ndarray) -> np.ndarray:
+        """The upper 43 bits of the hashes of the words of these values."""
+        known, used = value >= KNOWN, self.rank >= 0
+        words_ = np.zeros(len(self.counts), np.uint64)
+        words_[self.rank[used]] = self.key[used]
+        out = value.copy()
+        out[known] = words_[(value[known] - KNOWN).astype(np.int64)] >> _U(21)
+        return out
+
     def slices(self, value: np.ndarray, hot: int) -> np.ndarray:
         """Into how many slices the postings of each token are dealt; 1 for all but hot ones."""
         out = np.ones(len(value), np.int64)
@@ -244,16 +254,16 @@ def postings(docs: DataFrame, order: Order, buckets: int, like: Likeness, only:
     def run(batches):
         order, only = shared.value
         held, seen, own = _Held(buckets), {}, TaskContext.get().partitionId()
-        opens = np.zeros(1 << 16, bool)
+        opens = np.zeros(1 << 20, bool)
         if only is not None:
-            opens[(only & _U(0xFFFF)).astype(np.int64)] = True
+            opens[(order.hashes(only) & _U(0xFFFFF)).astype(np.int64)] = True
         for batch in batches:
             docs_, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             for block in blocks(batch.column("text")):
                 w = words(block, lower=True)
                 text, number, off = _lines(block, w)
                 if only is not None and len(text):  # few lines hold one of a few tokens
-                    some = np.flatnonzero(np.logical_or.reduceat(opens[(order.values(w.hashes) & _U(0xFFFF)).astype(np.int64)], off[:-1]))
+                    some = np.flatnonzero(np.logical_or.reduceat(opens[((w.hashes >> _U(21)) & _U(0xFFFFF)).astype(np.int64)], off[:-1]))
                     text, number, n = text[some], number[some], np.diff(off)[some]
                     first = np.append(0, np.cumsum(n))
                     w.hashes = w.hashes[np.repeat(off[some] - first[:-1], n) + np.arange(first[-1])]
