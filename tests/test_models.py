@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,19 @@ def test_near_duplicates_over_tiles_and_buckets(spark):
     assert few["n1"] is few["n2"] is few["d29"] is few["d30"] is None and few["d31"] == few["d32"] == 1.0
 
 
+def test_tiles_are_written_and_handed_on_in_small_parts(spark, monkeypatch):
+    words = F.transform(F.sequence(F.lit(1), F.lit(80_000)), lambda i: F.hex(F.xxhash64(i, "id") % 10**6))
+    docs = spark.range(0, 64, 1, 1).select("id", F.lit("g").alias("grp"), F.array_join(words, " ").alias("text"))
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in A.shingle_tiles(docs).inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 35 << 20 and max(sizes) < 24 << 20  # whatever one task writes
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(A, "saved", lambda df, *a, f=A.saved, **k: (seen.append(spark.conf.get(key, None)), f(df, *a, **k))[1])
+    before = spark.conf.get(key, None)
+    assert A.nearest_in_group(docs.limit(2)).count() == 2 and len(seen) > 4
+    assert all(x is not None and int(x) <= 4 << 20 for x in seen) and spark.conf.get(key, None) == before
+
+
 def test_layer_reports(spark):
     rows = [("real", "ru", "a", 1), ("real", "ru", "b", 2), ("real", "tj", "a", 1), ("real", "tj", "b", 1), ("synthetic", "ru", "a", 1), ("synthetic", "ru", "a", 1)]
     out = {(r.level, r.origin, r.language): (r.purity, r.n) for r in A.layer_reports(spark.createDataFrame(rows, "origin string, language string, t string, p int"), "t", "p").collect()}
