@@ -147,6 +147,26 @@ def test_tiles_are_written_and_handed_on_in_small_parts(spark, monkeypatch):
     assert all(x is not None and int(x) <= 4 << 20 for x in seen) and spark.conf.get(key, None) == before
 
 
+def test_crowds_of_near_copies_are_compared_in_blocks_and_in_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(4)]
+    edited = lambda words, k: " ".join(f"z{rng.randrange(10**6)}" if i in set(rng.sample(range(60), k)) else w for i, w in enumerate(words))
+    texts = [edited(bases[0], rng.randrange(3)) for _ in range(70)] + [edited(b, rng.randrange(3)) for b in bases[1:] for _ in range(12)]
+    texts += [" ".join([*bases[0][:30], *bases[1][:30]])] * 2 + [" ".join([*bases[0][:40], *bases[2][:20]]), "", None]
+    rows = [(i, "xy"[i % 40 == 0], t) for i, t in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for t in texts]
+    want = {}
+    for i, g, _ in rows:
+        j = [len(sets[i] & sets[k]) / len(sets[i] | sets[k]) for k, h, _ in rows if h == g and k != i and sets[i] and sets[k]]
+        want[i] = max(j) if j and max(j) >= 0.5 else None
+    docs, made = spark.createDataFrame(rows, "id long, grp string, text string").repartition(3), {}
+    monkeypatch.setattr(A, "saved", lambda df, name, *a, f=A.saved, **k: made.setdefault(name, f(df, name, *a, **k)))
+    for kind in ({"crowd": 32}, {"crowd": 2, "block": 2000}, {"crowd": 9, "block": 300}):
+        made.clear()
+        assert {r.id: r.nearest for r in A.nearest_in_group(docs, **kind).collect()} == want
+        assert made["shingle-within"].count() > 30 and made["shingle-pairs"].count() < 70 * 69 / 2 / 4
+
+
 def test_layer_reports(spark):
     rows = [("real", "ru", "a", 1), ("real", "ru", "b", 2), ("real", "tj", "a", 1), ("real", "tj", "b", 1), ("synthetic", "ru", "a", 1), ("synthetic", "ru", "a", 1)]
     out = {(r.level, r.origin, r.language): (r.purity, r.n) for r in A.layer_reports(spark.createDataFrame(rows, "origin string, language string, t string, p int"), "t", "p").collect()}
